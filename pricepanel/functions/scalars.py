@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def column(c: str | Column) -> Column:
@@ -24,7 +25,13 @@ def thousands(c: str | Column) -> Column:
 
 
 def iso_date(c: str | Column) -> Column:
-    return F.try_to_date(column(c).cast("string"), "yyyy-MM-dd")
+    return F.try_to_date(column(c), "yyyy-MM-dd")
+
+
+def as_dates(df: DataFrame, *names: str) -> DataFrame:
+    """Parse ISO date text; columns that hold dates already stay as they are."""
+    text = [n for n in names if df.schema[n].dataType == T.StringType()]
+    return df.withColumns({n: iso_date(n) for n in text}) if text else df
 
 
 def flag(condition: Column) -> Column:

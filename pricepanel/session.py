@@ -22,6 +22,7 @@ def build_session(app: str = "pricepanel", master: str | None = None, shuffle_pa
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
