@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from pricepanel.functions.quantiles import exact_quantiles
 from pricepanel.operators import cleaning as K
-from pricepanel.plans import clean
-from pricepanel.schemas import PANEL
+from pricepanel.operators import text as X
+from pricepanel.operators import products
+from pricepanel.plans import clean, profile, variability
 from pricepanel.session import stage
+from pricepanel.sources.tables import spread
 
 ANCHOR = "ANCHOR"
 START = "1996-01-01"
@@ -35,6 +37,32 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
 """
 
 
+# Page text, the same SQL in both engines.
+PRODUCT_PAGE = """
+concat(html, '<div id="priceBlock" class="buying"><b><span class="priceLarge">$', CAST(page_id % 50 AS STRING),
+ '.99</span></b></div><h2>Product Details</h2><div>',
+ CASE WHEN page_id % 7 = 0 THEN '' ELSE concat(CAST(page_id % 5 AS STRING), '.5 out of 5 stars (') END,
+ CASE WHEN page_id % 6 = 0 THEN '' ELSE concat(CAST(page_id % 200 AS STRING), ' customer reviews) ') END,
+ CASE WHEN page_id % 8 = 0 THEN '' ELSE concat('#', CAST(page_id % 9 + 1 AS STRING), ',', lpad(CAST(page_id % 1000 AS STRING), 3, '0'), ' in Books') END,
+ '</div>')
+"""
+OFFER_PAGE = """
+replace(replace(html, '<li><a href="', concat(
+ '<tbody class="result"><tr><td><span class="price">$', CAST(page_id % 90 + 10 AS STRING), '.50</span>',
+ CASE WHEN page_id % 11 = 0 THEN '<img src="x.png" alt="ANCHOR" />' ELSE '' END,
+ CASE WHEN page_id % 3 = 0 THEN '' ELSE '<span class="price_shipping">+ $3.99</span>' END,
+ CASE WHEN page_id % 5 = 0 THEN '<div class="fba_link"><a>Fulfilled</a></div>' ELSE '' END,
+ '<div class="condition">Used - Good</div>',
+ CASE page_id % 4 WHEN 0 THEN '<div class="rating"><b>Just Launched</b> seller</div>'
+  WHEN 1 THEN '<div class="rating">100% positive. (1 rating)</div>'
+  WHEN 2 THEN concat('<div class="rating"><b>9', CAST(page_id % 10 AS STRING), '%</b> positive. (1,', lpad(CAST(page_id % 1000 AS STRING), 3, '0'), ' total ratings)</div>')
+  ELSE '' END,
+ '<div class="availability">In Stock. Ships from NY, United States. </div>',
+ CASE WHEN page_id % 9 = 0 THEN '' ELSE concat('<div class="comments"> copy of page ', CAST(page_id AS STRING), ' </div>') END,
+ '<div class="seller"><b>Seller:</b> ')), '</a></li>', '</div></td></tr></tbody>')
+"""
+
+
 class Fixture:
     """Lazy access to the given tables and to what the queries derive from them."""
 
@@ -45,9 +73,13 @@ class Fixture:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def lineitem(self) -> DataFrame:
+        return spread(self.table("lineitem"), "l_orderkey", "l_linenumber")
+
     @cached_property
     def raw(self) -> DataFrame:
-        return self.spark.sql(RAW_QUOTES, lineitem=self.table("lineitem"), part=self.table("part"))
+        return self.spark.sql(RAW_QUOTES, lineitem=self.lineitem, part=self.table("part"))
 
     @cached_property
     def quotes(self) -> DataFrame:
@@ -67,12 +99,13 @@ class Fixture:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return self.screened(self.ranked)
+        """The clean panel; its screens and its rows read the same staged quotes."""
+        return self.screened(stage(self.ranked, "ranked"))
 
     @cached_property
     def staged_panel(self) -> DataFrame:
         """The panel written once, for queries that read it in several branches."""
-        return stage(self.screened(stage(self.ranked, "ranked")), "panel")
+        return stage(self.panel, "panel")
 
     @cached_property
     def list_prices(self) -> DataFrame:
@@ -95,7 +128,7 @@ class Fixture:
                                count(*) AS reviews, avg(l_quantity) / 10 AS book_rating, sum(l_quantity) AS quantity
                         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY 1, 2))
             """,
-            lineitem=self.table("lineitem"),
+            lineitem=self.lineitem,
             part=self.table("part"),
         )
 
@@ -141,7 +174,7 @@ class Fixture:
             .when(F.col("lang") == "de", "United Kingdom")
             .otherwise("Spain")
         )
-        return self.table("documents").select(
+        return spread(self.table("documents").drop("n_chars"), "doc_id").select(
             F.col("source").alias("seller"),
             F.col("doc_id").alias("isbn"),
             (F.col("doc_id") % 2).cast("int").alias("used"),
@@ -149,6 +182,39 @@ class Fixture:
             origin.alias("shipsfrom"),
         )
 
+    @cached_property
+    def pair_descriptions(self) -> DataFrame:
+        """Descriptions keyed by the sellers and products of the panel."""
+        n = F.col("isbn")
+        return self.descriptions.withColumns(
+            {
+                "seller": F.concat(F.lit("S"), (n % 100).cast("string")),
+                "isbn": F.concat(F.lit("Brand#"), (F.floor(n / 100) % 25 + 1).cast("string")),
+                "listing": n,
+            }
+        )
+
+    def labelled_grams(self, n: int, top: int = 60) -> DataFrame:
+        """The most frequent word runs, labelled as content by the parity of their length."""
+        counts = X.gram_counts(X.clean_descriptions(self.descriptions), n, top)
+        return counts.select("gram", (F.length("gram") % 2).alias("content"))
+
+    @cached_property
+    def phrases(self) -> DataFrame:
+        return X.informative_phrases(self.labelled_grams(2), self.labelled_grams(3))
+
+    @cached_property
+    def product_pages(self) -> DataFrame:
+        """The given pages with the blocks of a product page after them."""
+        return self.table("pages").select("page_id", F.expr(PRODUCT_PAGE).alias("html"))
+
+    @cached_property
+    def offer_pages(self) -> DataFrame:
+        """The given pages with each link of their navigation turned into a result block."""
+        return self.table("pages").select(
+            "page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("item"), F.expr(OFFER_PAGE).alias("html")
+        )
+
     @cached_property
     def ticks(self) -> DataFrame:
         """Event stream as price ticks of a pair."""
@@ -167,3 +233,26 @@ class Fixture:
             F.to_date("ts").alias("dateacc"), F.col("event_type").alias("isbn"), F.col("user_id").alias("seller"),
             "ts", "event_id", "value",
         )
+
+    @cached_property
+    def eligible(self) -> DataFrame:
+        """Quotes of the products in the master with a sales rank on the check days."""
+        return variability.eligible_panel(self.staged_panel, self.profiles, self.master, CHECK_DAYS)
+
+    @cached_property
+    def days(self) -> DataFrame:
+        return products.day_measures(self.eligible, ANCHOR, self.clusters)
+
+    @cached_property
+    def weighted_days(self) -> DataFrame:
+        return variability.weighted_days(self.days, self.profiles)
+
+    @cached_property
+    def fluctuation(self) -> DataFrame:
+        return variability.fluctuation(
+            stage(self.eligible, "eligible"), ANCHOR, self.profiles, self.clusters, self.master, self.bestsellers, self.list_prices
+        )
+
+    @cached_property
+    def seller_profile(self) -> DataFrame:
+        return profile.seller_profile(self.staged_panel, ANCHOR)

@@ -17,13 +17,14 @@ BOOK_SCHEMA = """
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows of an input with far fewer splits than cores over all cores.
+    """Hash the rows of an input with fewer splits than cores over all cores.
 
-    One large file that cannot be split would leave the cluster idle; an input
-    with enough splits is returned as it is, without a shuffle.
+    A file that cannot be split would leave the other cores idle. An input with
+    enough splits is returned as it is, so what is moved here never exceeds one
+    split per core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 4 > cores else df.repartition(cores, *keys)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True, sep: str = ",") -> DataFrame:
@@ -59,10 +60,13 @@ def books_from_column(df: DataFrame, xml: str | Column, schema: str = BOOK_SCHEM
 
 
 def read_lists(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
-    """All list files under a root in one read; the list name is the name of a file's folder."""
+    """All list files under a root in one read; the list name is that of a file's folder.
+
+    Folders may be plain (``fiction``) or written by ``partitionBy`` (``list_name=fiction``).
+    """
     files = spark.read.schema(schema).option("header", True).option("nullValue", NULL_MARK).csv(f"{root}/*")
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return files.select("*", F.url_decode(folder).alias("list_name"))
+    return files.select("*", F.regexp_replace(F.url_decode(folder), "^.*=", "").alias("list_name"))
 
 
 def shuffled_worklist(items: DataFrame, key: str, seed: int) -> DataFrame:

@@ -64,7 +64,7 @@ def price_changes(stream: DataFrame, keys: list[str], order: list[str], price: s
     """Price changes of each pair, with its last price and time as state.
 
     A key's rows in one micro-batch are sorted by event time; admission control
-    on the source bounds them. Rows not after the last one seen are skipped.
+    on the source bounds them. Rows from before the last one seen are skipped.
     """
     kinds = {f.name: f.dataType for f in stream.schema.fields}
     when = order[0]
@@ -80,7 +80,7 @@ def price_changes(stream: DataFrame, keys: list[str], order: list[str], price: s
         last = None
         if held.exists:
             last, seen = held.get
-            rows = rows[rows["__at"] > seen]
+            rows = rows[rows["__at"] >= seen]
         if not len(rows):
             return
         before = rows[price].shift()
