@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, RFormula, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
@@ -22,24 +23,86 @@ def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFr
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="error").transform(df)
 
 
-def best_kmeans(vectors: DataFrame, k: int, starts: int = STARTS, max_iter: int = 100, features: str = "features") -> KMeansModel:
-    """The model with the lowest cost over ``starts`` seeds; the vectors are kept in memory meanwhile."""
-    held = vectors.select(features).persist()
-    try:
-        fits = (
-            KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features).fit(held) for seed in range(starts)
+def _start_sums(block: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, coordinate sums and squared distances of one block of points under every start."""
+    starts, k, width = centres.shape
+    flat = centres.reshape(starts * k, width)
+    gaps = (block**2).sum(1)[:, None] - 2.0 * block @ flat.T + (flat**2).sum(1)
+    gaps = np.maximum(gaps, 0.0).reshape(len(block), starts, k)
+    slot = gaps.argmin(2) + np.arange(starts) * k
+    count = np.bincount(slot.ravel(), minlength=starts * k)
+    cost = np.bincount(slot.ravel(), weights=gaps.min(2).ravel(), minlength=starts * k)
+    sums = np.stack(
+        [np.bincount(slot.ravel(), weights=np.repeat(block[:, j], starts), minlength=starts * k) for j in range(width)], 1
+    )
+    return count, sums, cost
+
+
+def best_centres(points: DataFrame, columns: list[str], k: int, starts: int = STARTS, max_iter: int = 100, tol: float = 1e-9, seed: int = 0) -> list[list[float]]:
+    """Centres of the best of many k-means starts, all of them moved by the same scans.
+
+    Every start begins at ``k`` distinct rows. In each round a task reduces its
+    rows to counts and sums per start and cluster, Spark adds those up, and only
+    ``starts * k`` small rows reach the driver; starts that stand still drop out.
+    """
+    data = points.select(*columns)
+    drawn = data.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(starts * k).collect()
+    pool = np.unique(np.array([list(r) for r in drawn], dtype=float), axis=0)
+    if len(pool) < k:
+        raise ValueError(f"{k} clusters need at least {k} distinct rows")
+    rng = np.random.default_rng(seed)
+    centres = np.stack([pool[rng.choice(len(pool), k, replace=False)] for _ in range(starts)])
+    costs = np.full(starts, np.inf)
+    moving = np.arange(starts)
+    sum_schema = "slot int, n long, sums array<double>, cost double"
+
+    for _ in range(max_iter):
+        now = centres[moving]
+
+        def reduce_rows(frames):
+            total = None
+            for frame in frames:
+                part = _start_sums(frame.to_numpy(dtype=float), now)
+                total = part if total is None else tuple(a + b for a, b in zip(total, part))
+            if total is not None:
+                yield pd.DataFrame({"slot": range(len(total[0])), "n": total[0], "sums": list(total[1]), "cost": total[2]})
+
+        added = (
+            data.mapInPandas(reduce_rows, sum_schema)
+            .groupBy("slot")
+            .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(len(columns))])
+            .orderBy("slot")
+            .toPandas()
         )
-        return min(fits, key=lambda m: m.summary.trainingCost)
-    finally:
-        held.unpersist()
+        n = added["n"].to_numpy(dtype=float).reshape(len(moving), k, 1)
+        sums = added[[f"s{j}" for j in range(len(columns))]].to_numpy(dtype=float).reshape(len(moving), k, -1)
+        moved = np.where(n > 0, sums / np.maximum(n, 1), now)
+        costs[moving] = added["cost"].to_numpy(dtype=float).reshape(len(moving), k).sum(1)
+        centres[moving] = moved
+        moving = moving[np.abs(moved - now).max((1, 2)) > tol]
+        if not len(moving):
+            break
+    return centres[int(costs.argmin())].tolist()
 
 
 def cluster_rows(df: DataFrame, columns: list[str], k: int, starts: int = STARTS) -> DataFrame:
     """Standardise, cluster, and label by size: cluster 1 is the largest."""
-    vectors = assemble(stats.standardize(stats.complete_rows(df, columns), columns), columns)
-    model = best_kmeans(vectors, k, starts)
-    labelled = model.setPredictionCol("cluster").transform(vectors).drop("features", *columns)
-    return stats.relabel_by_size(labelled, "cluster")
+    points = stats.standardize(stats.complete_rows(df, columns), columns).persist()
+    try:
+        centres = best_centres(points, columns, k, starts)
+    finally:
+        points.unpersist()
+    rows = [(i, *c) for i, c in enumerate(centres)]
+    table = df.sparkSession.createDataFrame(rows, f"cluster int, {', '.join(f'`{c}` double' for c in columns)}")
+    nearest = stats.nearest_centre(points, columns, table, "cluster").drop("distance", *columns)
+    return stats.relabel_by_size(nearest, "cluster")
+
+
+def score_classes(scores: DataFrame, columns: list[str], k: int, max_iter: int = 1000, seed: int = 0) -> DataFrame:
+    """Classes of rows on component scores from one k-means start, labelled by size."""
+    vectors = assemble(scores, columns)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, predictionCol="cluster").fit(vectors)
+    return stats.relabel_by_size(model.transform(vectors).drop("features"), "cluster")
 
 
 def pca_scores(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:

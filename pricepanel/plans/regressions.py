@@ -38,10 +38,10 @@ def variability_model(fluctuation: DataFrame, response: str, by_list: bool = Tru
 
     ``without`` leaves out the products of one list.
     """
-    sample = product_sample(fluctuation).withColumn("__y", 100 * F.col(response))
+    sample = product_sample(fluctuation).withColumn("response", 100 * F.col(response))
     if without:
         sample = sample.filter(F.col("display_name") != without)
-    return M.ols(sample, "__y", PRODUCT_TERMS, ["display_name"] if by_list else None)
+    return M.ols(sample, "response", PRODUCT_TERMS, ["display_name"] if by_list else None)
 
 
 def pair_cv_model(pairs: DataFrame, fluctuation: DataFrame, profile: DataFrame, clusters: DataFrame, cluster: int = 1, cols: PanelColumns = PANEL) -> DataFrame:
@@ -56,7 +56,7 @@ def pair_cv_model(pairs: DataFrame, fluctuation: DataFrame, profile: DataFrame,
         .join(profile.select(cols.seller, *seller_terms), [cols.seller])
         .withColumns(
             {
-                "__y": 100 * F.col("cv"),
+                "response": 100 * F.col("cv"),
                 "log_avg_sales_rank": S.safe_ln("avg_sales_rank", RANK_OFFSET),
                 "log_sd_sales_rank": S.safe_ln("sd_sales_rank", RANK_OFFSET),
                 "log_list_price": S.safe_ln("list_price", RANK_OFFSET),
@@ -66,7 +66,7 @@ def pair_cv_model(pairs: DataFrame, fluctuation: DataFrame, profile: DataFrame,
     )
     terms = ["c1", "c2", "c3", "num_sellers_excluded", "log_avg_sales_rank", "log_sd_sales_rank", "log_list_price",
              "no_list_price", "coeff_var_anchor", "log_num_listings", *seller_terms[1:]]
-    return M.ols(sample, "__y", terms, ["display_name"])
+    return M.ols(sample, "response", terms, ["display_name"])
 
 
 def lifetime_model(lifetimes: DataFrame, descriptions: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:

@@ -40,10 +40,7 @@ def pca_scores(f):
     """Scores of the sellers on five components, and four classes found on the scores."""
     columns = classes.logs_of(classes.SELLER_FEATURES)
     scores = stage(M.pca_scores(complete(f).select("seller", *columns), columns), "scores")
-    parts = [f"pc{i}" for i in range(1, 6)]
-    vectors = M.assemble(scores, parts)
-    model = M.best_kmeans(vectors, 4, starts=1, max_iter=1000)
-    return stats.relabel_by_size(model.setPredictionCol("cluster").transform(vectors).drop("features"), "cluster")
+    return M.score_classes(scores, [f"pc{i}" for i in range(1, 6)], 4)
 
 
 def _variability(f, response, **options):

@@ -39,14 +39,10 @@ def read_positional(spark: SparkSession, path: str, schema: T.StructType | str)
 
 def flatten_books(books: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Nested book records to flat rows; identifiers lists, reviews and descriptions stay out."""
-    flat = [c for c in books.columns if c != "book_details"]
-    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    text = {f.name for f in books.schema.fields if f.dataType == T.StringType()}
-    return books.select(
-        *keep,
-        *[(blank(F.col(c)) if c in text else F.col(c)).alias(c) for c in flat if c not in keep],
-        "book_details.book_detail.*",
-    )
+    own = [c for c in books.columns if c != "book_details" and c not in keep]
+    flat = books.select(*keep, *own, "book_details.book_detail.*")
+    text = [f.name for f in flat.schema.fields if f.dataType == T.StringType() and f.name not in keep]
+    return flat.withColumns({c: F.when(F.trim(c) != "", F.trim(c)) for c in text})
 
 
 def read_books(spark: SparkSession, path: str, schema: str = BOOK_SCHEMA) -> DataFrame:

@@ -92,7 +92,9 @@ def price_changes(stream: DataFrame, keys: list[str], order: list[str], price: s
             out[name] = key[i]
         out[f"{price}_prev"] = before
         out[f"{price}_change"] = out[price] - before
-        yield out[out[f"{price}_change"].fillna(0) != 0][output.names]
+        out = out[out[f"{price}_change"].fillna(0) != 0]
+        if len(out):
+            yield out[output.names]
 
     return stream.select(*keys, *order, price).groupBy(*keys).applyInPandasWithState(
         detect, output, state, "append", GroupStateTimeout.NoTimeout
