@@ -15,6 +15,9 @@ def group_apply(
     """Run ``fn`` on each group as a pandas frame.
 
     A group must fit one task; group by keys with a bound on their rows, such as
-    a pair's days, and use the built-in aggregates for everything else.
+    a pair's days, and use the built-in aggregates for everything else. Groups
+    go to the full number of shuffle partitions: time is spent per group here,
+    so merging partitions by their size in bytes would idle the other cores.
     """
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys).groupBy(*keys).applyInPandas(fn, schema)

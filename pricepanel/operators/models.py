@@ -71,8 +71,8 @@ def best_centres(points: DataFrame, columns: list[str], k: int, starts: int = ST
             data.mapInPandas(reduce_rows, sum_schema)
             .groupBy("slot")
             .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(len(columns))])
-            .orderBy("slot")
             .toPandas()
+            .sort_values("slot")
         )
         n = added["n"].to_numpy(dtype=float).reshape(len(moving), k, 1)
         sums = added[[f"s{j}" for j in range(len(columns))]].to_numpy(dtype=float).reshape(len(moving), k, -1)

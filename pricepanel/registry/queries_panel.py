@@ -215,14 +215,14 @@ def group_apply(f):
     def ends(frame):
         import pandas
 
-        ordered = frame.sort_values("dateacc")
+        days, prices = frame["dateacc"].to_numpy(), frame["price2"].to_numpy()
         return pandas.DataFrame(
             {
-                "seller": ordered["seller"].iloc[:1].values,
-                "isbn": ordered["isbn"].iloc[:1].values,
-                "observations": [len(ordered)],
-                "price_first": ordered["price2"].iloc[:1].values,
-                "price_last": ordered["price2"].iloc[-1:].values,
+                "seller": frame["seller"].to_numpy()[:1],
+                "isbn": frame["isbn"].to_numpy()[:1],
+                "observations": [len(frame)],
+                "price_first": [prices[days.argmin()]],
+                "price_last": [prices[days.argmax()]],
             }
         )
 
