@@ -17,6 +17,7 @@ from pricepanel.functions.ordered import with_position
 from pricepanel.operators import stats
 
 STARTS = 100  # fixed value: k-means starts of which the best is kept
+START_POOL = 1024  # rows, drawn by hash, from which the starts take their first centres
 
 
 def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -46,12 +47,12 @@ def best_centres(points: DataFrame, columns: list[str], k: int, starts: int = ST
     ``starts * k`` small rows reach the driver; starts that stand still drop out.
     """
     data = points.select(*columns)
-    drawn = data.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(starts * k).collect()
+    drawn = data.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(max(starts * k, START_POOL)).collect()
     pool = np.unique(np.array([list(r) for r in drawn], dtype=float), axis=0)
     if len(pool) < k:
         raise ValueError(f"{k} clusters need at least {k} distinct rows")
-    rng = np.random.default_rng(seed)
-    centres = np.stack([pool[rng.choice(len(pool), k, replace=False)] for _ in range(starts)])
+    draws = [np.random.default_rng([seed, s]).choice(len(pool), k, replace=False) for s in range(starts)]
+    centres = np.stack([pool[d] for d in draws])
     costs = np.full(starts, np.inf)
     moving = np.arange(starts)
     sum_schema = "slot int, n long, sums array<double>, cost double"

@@ -14,18 +14,21 @@ from pricepanel.registry.sql_blocks import BLOCKS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 6
+# Both engines round the same way unless a value lies on a tie, where the last bit
+# of a sum decides; means of prices in cents often do, so both are moved off the tie.
+NUDGE = "1e-9"
 
 # Kinds in a column list: no suffix text, :i whole number, :f number rounded, :d date.
 SPARK_FORM = {
     "s": lambda c: F.col(c).cast("string"),
     "i": lambda c: F.col(c).cast("bigint"),
-    "f": lambda c: F.round(F.col(c).cast("double"), DIGITS),
+    "f": lambda c: F.round(F.col(c).cast("double") + F.lit(float(NUDGE)), DIGITS),
     "d": lambda c: F.col(c).cast("date"),
 }
 DUCKDB_FORM = {
     "s": "CAST({c} AS VARCHAR)",
     "i": "CAST({c} AS BIGINT)",
-    "f": f"round(CAST({{c}} AS DOUBLE), {DIGITS}) + 0.0",
+    "f": f"round(CAST({{c}} AS DOUBLE) + {NUDGE}, {DIGITS}) + 0.0",
     "d": "CAST({c} AS DATE)",
 }
 

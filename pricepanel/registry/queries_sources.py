@@ -290,11 +290,16 @@ def stream_price_changes(f):
 
 @query("isbn week_start:d quotes:i kept:i late:i")
 def stream_late_drop(f):
-    """The second half of the month arrives first; weeks the watermark has closed lose their late quotes."""
+    """The month arrives backwards, a third per batch; the weeks closed by then lose their late quotes.
+
+    The engine drops rows by the watermark of the batch before, so the newest
+    third closes weeks for the oldest and not yet for the middle one.
+    """
     path = scratch_path(f.spark, "arrivals")
     ticks = f.ticks
-    middle = F.lit("2024-01-16").cast("timestamp_ntz")
-    for part in (ticks.filter(F.col("ts") >= middle), ticks.filter(F.col("ts") < middle)):
+    date = F.to_date("ts")
+    newest, middle = date >= F.to_date(F.lit("2024-01-21")), date >= F.to_date(F.lit("2024-01-11"))
+    for part in (ticks.filter(newest), ticks.filter(middle & ~newest), ticks.filter(~middle)):
         part.coalesce(1).write.mode("append").parquet(path)
     stream = jobs.file_stream(f.spark, path, ticks.schema, files_per_batch=1)
     kept = weekly_counts(f, stream, "late")
