@@ -65,9 +65,11 @@ def first_by(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataF
     costs one row per task.
     """
     lead = [S.column(c).alias(f"__o{i}") for i, c in enumerate(order)]
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min(F.struct(*lead, F.struct(*rest).alias("__row"))).alias("__best")
-    return df.groupBy(*keys).agg(best).select(*keys, "__best.__row.*").select(*df.columns)
+    led = {c: f"__best.__o{i}" for i, c in enumerate(order) if isinstance(c, str)}
+    rest = [c for c in df.columns if c not in keys and c not in led]
+    best = F.min(F.struct(*lead, *rest)).alias("__best")
+    place = lambda c: F.col(c) if c in keys else F.col(led.get(c, f"__best.{c}"))
+    return df.groupBy(*keys).agg(best).select(*[place(c).alias(c) for c in df.columns])
 
 
 def dedup_seller_day(quotes: DataFrame, tie: list[str], cols: PanelColumns = PANEL) -> DataFrame:

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from pricepanel.functions.ordered import with_position
 from pricepanel.operators import stats
+from pricepanel.sources.tables import spread
 
 STARTS = 100  # fixed value: k-means starts of which the best is kept
 START_POOL = 1024  # rows, drawn by hash, from which the starts take their first centres
+RACE_SHIFT = 1e-2  # standard deviations a centre may still move when the starts are compared
+STILL = 1e-9
 
 
 def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -39,24 +42,16 @@ def _start_sums(block: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.
     return count, sums, cost
 
 
-def best_centres(points: DataFrame, columns: list[str], k: int, starts: int = STARTS, max_iter: int = 100, tol: float = 1e-9, seed: int = 0) -> list[list[float]]:
-    """Centres of the best of many k-means starts, all of them moved by the same scans.
+def _move(data: DataFrame, columns: list[str], centres: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """Move the centres of several starts until none shifts by more than ``tol``; centres and costs.
 
-    Every start begins at ``k`` distinct rows. In each round a task reduces its
-    rows to counts and sums per start and cluster, Spark adds those up, and only
-    ``starts * k`` small rows reach the driver; starts that stand still drop out.
+    In each round a task reduces its rows to counts and sums per start and
+    cluster, Spark adds those up, and one small row per start and cluster
+    reaches the driver. Starts that stand still drop out of the next round.
     """
-    data = points.select(*columns)
-    drawn = data.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(max(starts * k, START_POOL)).collect()
-    pool = np.unique(np.array([list(r) for r in drawn], dtype=float), axis=0)
-    if len(pool) < k:
-        raise ValueError(f"{k} clusters need at least {k} distinct rows")
-    draws = [np.random.default_rng([seed, s]).choice(len(pool), k, replace=False) for s in range(starts)]
-    centres = np.stack([pool[d] for d in draws])
-    costs = np.full(starts, np.inf)
-    moving = np.arange(starts)
-    sum_schema = "slot int, n long, sums array<double>, cost double"
-
+    starts, k, width = centres.shape
+    centres, costs, moving = centres.copy(), np.full(starts, np.inf), np.arange(starts)
+    totals = [F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(width)]
     for _ in range(max_iter):
         now = centres[moving]
 
@@ -69,26 +64,43 @@ def best_centres(points: DataFrame, columns: list[str], k: int, starts: int = ST
                 yield pd.DataFrame({"slot": range(len(total[0])), "n": total[0], "sums": list(total[1]), "cost": total[2]})
 
         added = (
-            data.mapInPandas(reduce_rows, sum_schema)
+            data.mapInPandas(reduce_rows, "slot int, n long, sums array<double>, cost double")
             .groupBy("slot")
-            .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(len(columns))])
+            .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *totals)
             .toPandas()
             .sort_values("slot")
         )
         n = added["n"].to_numpy(dtype=float).reshape(len(moving), k, 1)
-        sums = added[[f"s{j}" for j in range(len(columns))]].to_numpy(dtype=float).reshape(len(moving), k, -1)
+        sums = added[[f"s{j}" for j in range(width)]].to_numpy(dtype=float).reshape(len(moving), k, width)
         moved = np.where(n > 0, sums / np.maximum(n, 1), now)
         costs[moving] = added["cost"].to_numpy(dtype=float).reshape(len(moving), k).sum(1)
         centres[moving] = moved
         moving = moving[np.abs(moved - now).max((1, 2)) > tol]
         if not len(moving):
             break
-    return centres[int(costs.argmin())].tolist()
+    return centres, costs
+
+
+def best_centres(points: DataFrame, columns: list[str], k: int, starts: int = STARTS, max_iter: int = 200, seed: int = 0) -> list[list[float]]:
+    """Centres of the best of many k-means starts, all of them moved by the same scans.
+
+    Every start begins at ``k`` distinct rows. The starts race until they hardly
+    move; the one with the lowest cost is then moved until it stands still.
+    """
+    data = points.select(*columns)
+    drawn = data.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(max(starts * k, START_POOL)).collect()
+    pool = np.unique(np.array([list(r) for r in drawn], dtype=float), axis=0)
+    if len(pool) < k:
+        raise ValueError(f"{k} clusters need at least {k} distinct rows")
+    draws = [np.random.default_rng([seed, s]).choice(len(pool), k, replace=False) for s in range(starts)]
+    raced, costs = _move(data, columns, np.stack([pool[d] for d in draws]), max_iter, RACE_SHIFT)
+    final, _ = _move(data, columns, raced[[int(costs.argmin())]], max_iter, STILL)
+    return final[0].tolist()
 
 
 def cluster_rows(df: DataFrame, columns: list[str], k: int, starts: int = STARTS) -> DataFrame:
     """Standardise, cluster, and label by size: cluster 1 is the largest."""
-    points = stats.standardize(stats.complete_rows(df, columns), columns).persist()
+    points = spread(stats.standardize(stats.complete_rows(df, columns), columns), *columns).persist()
     try:
         centres = best_centres(points, columns, k, starts)
     finally:

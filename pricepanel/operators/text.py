@@ -39,7 +39,9 @@ def phrase_usage(descriptions: DataFrame, phrases: DataFrame) -> DataFrame:
     searched as it is scanned, and nothing is shuffled.
     """
     listed = phrases.agg(F.array_sort(F.collect_set("gram"))).scalar()
-    found = F.filter(F.col("__list"), lambda gram: F.contains(F.col("comments"), gram))
+    # The comment enters as a lambda variable: whatever computes it then runs once per row, not once per phrase.
+    search = lambda text: F.filter(F.col("__list"), lambda gram: F.contains(text, gram))
+    found = F.transform(F.array("comments"), search)[0]
     return (
         descriptions.withColumn("__list", listed)
         .withColumn("phrases", found)

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricepanel.functions.quantiles import exact_quantiles
+from pricepanel.functions.quantiles import price_quantile
 from pricepanel.operators import cleaning as K
 from pricepanel.operators import text as X
 from pricepanel.operators import products
@@ -69,9 +69,12 @@ class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = str(sf_dir).rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def lineitem(self) -> DataFrame:
@@ -92,7 +95,7 @@ class Fixture:
     def price_floor(self, ranked: DataFrame):
         """The median of the lowest prices, as a one-row subquery: a floor that fits any scale of the data."""
         lowest = ranked.filter(F.col("rank") == 1)
-        return exact_quantiles(lowest, ["price2"], [0.5]).select("quantile").scalar()
+        return price_quantile(lowest, "price2", 0.5).scalar()
 
     def screened(self, ranked: DataFrame) -> DataFrame:
         return clean.screen_panel(K.patch_anchor(ranked, ANCHOR), ANCHOR, START, self.price_floor(ranked))
@@ -194,9 +197,14 @@ class Fixture:
             }
         )
 
+    @cached_property
+    def cleaned(self) -> DataFrame:
+        """Descriptions cleaned once, for queries that read them in several branches."""
+        return stage(X.clean_descriptions(self.descriptions), "cleaned")
+
     def labelled_grams(self, n: int, top: int = 60) -> DataFrame:
         """The most frequent word runs, labelled as content by the parity of their length."""
-        counts = X.gram_counts(X.clean_descriptions(self.descriptions), n, top)
+        counts = X.gram_counts(self.cleaned, n, top)
         return counts.select("gram", (F.length("gram") % 2).alias("content"))
 
     @cached_property

@@ -191,8 +191,7 @@ def word_count(f):
 @query("n:i gram count:i", "SELECT * FROM top_grams")
 def ngram_counts(f):
     """The sixty most frequent runs of two and of three words."""
-    cleaned = X.clean_descriptions(f.descriptions)
-    return X.gram_counts(cleaned, 2, 60).unionByName(X.gram_counts(cleaned, 3, 60))
+    return X.gram_counts(f.cleaned, 2, 60).unionByName(X.gram_counts(f.cleaned, 3, 60))
 
 
 @query(
@@ -200,7 +199,7 @@ def ngram_counts(f):
     "SELECT isbn, seller, phrase_count, informative, phrases FROM phrase_hits",
 )
 def phrase_usage(f):
-    used = X.phrase_usage(X.clean_descriptions(f.descriptions), stage(f.phrases, "phrases"))
+    used = X.phrase_usage(f.cleaned, stage(f.phrases, "phrases"))
     return used.withColumn("phrases", F.array_join("phrases", "|"))
 
 
@@ -216,8 +215,7 @@ def text_repeat(f):
              FROM repeats r JOIN phrase_hits h ON r.isbn = h.isbn GROUP BY r.seller)""",
 )
 def seller_text_profile(f):
-    used = X.phrase_usage(X.clean_descriptions(f.descriptions), stage(f.phrases, "phrases"))
-    return X.seller_text_profile(used)
+    return X.seller_text_profile(X.phrase_usage(f.cleaned, stage(f.phrases, "phrases")))
 
 
 def events_stream(f):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,26 +76,25 @@ def price_changes(stream: DataFrame, keys: list[str], order: list[str], price: s
     state = T.StructType([T.StructField("price", T.DoubleType()), T.StructField("seen", T.LongType())])
 
     def detect(key, chunks, held: GroupState):
-        rows = pd.concat(list(chunks)).sort_values(order)
-        rows["__at"] = rows[when].astype("datetime64[us]").astype("int64")
-        last = None
-        if held.exists:
-            last, seen = held.get
-            rows = rows[rows["__at"] >= seen]
-        if not len(rows):
+        rows = pd.concat(list(chunks))
+        sort = {c: rows[c].to_numpy() for c in order}
+        at = np.lexsort([sort[c] for c in reversed(order)])
+        times = sort[when].astype("datetime64[us]").astype("int64")
+        last, seen = held.get if held.exists else (np.nan, None)
+        if seen is not None:
+            at = at[times[at] >= seen]
+        if not len(at):
             return
-        before = rows[price].shift()
-        if last is not None:
-            before.iloc[0] = last
-        held.update((float(rows[price].iloc[-1]), int(rows["__at"].iloc[-1])))
-        out = rows[[*order, price]].copy()
-        for i, name in enumerate(keys):
-            out[name] = key[i]
-        out[f"{price}_prev"] = before
-        out[f"{price}_change"] = out[price] - before
-        out = out[out[f"{price}_change"].fillna(0) != 0]
-        if len(out):
-            yield out[output.names]
+        prices = rows[price].to_numpy()[at]
+        before = np.concatenate([[last], prices[:-1]])
+        held.update((float(prices[-1]), int(times[at[-1]])))
+        change = prices - before
+        moved = np.flatnonzero(np.nan_to_num(change) != 0)
+        if len(moved):
+            columns = {name: [key[i]] * len(moved) for i, name in enumerate(keys)}
+            columns |= {c: sort[c][at[moved]] for c in order}
+            columns |= {price: prices[moved], f"{price}_prev": before[moved], f"{price}_change": change[moved]}
+            yield pd.DataFrame(columns)[output.names]
 
     return stream.select(*keys, *order, price).groupBy(*keys).applyInPandasWithState(
         detect, output, state, "append", GroupStateTimeout.NoTimeout
