@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricepanel.functions import scalars as S
+from pricepanel.functions.ordered import total_before
 
 # The marks and phrases of the source pages.
 CURRENT_PRICE_CLASS = "priceLarge"
@@ -98,17 +99,14 @@ def page_listings(pages: DataFrame, anchor: str, html: str = "html") -> DataFram
 
 
 def paged_position(listings: DataFrame, item: str, page: str, pos: str = "pos") -> DataFrame:
-    """Running position of a listing over all pages of its item.
+    """Running position of a listing over all pages of its item; pages are numbered.
 
-    Pages are counted first, so the window runs over the pages of an item and
-    not over its listings.
+    Pages are counted first, and the counts of earlier pages are summed by
+    slices of pages, so neither the listings nor the pages of a large item meet
+    in one task.
     """
-    earlier = Window.partitionBy(item).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        listings.groupBy(item, page).agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        .drop("__n")
-    )
+    counted = listings.groupBy(item, page).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = total_before(counted, [item], page, "__n", "__before").drop("__n")
     return (
         listings.join(offsets, [item, page])
         .withColumn("position", F.col("__before") + F.col(pos))

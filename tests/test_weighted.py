@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from conftest import rows
-from pricepanel.functions.ordered import with_position
+from pricepanel.functions.ordered import total_before, with_position
 from pricepanel.functions.quantiles import exact_quantiles
 from pricepanel.functions.weighted import weighted_mean, weighted_sd, with_centres
 
@@ -49,15 +49,30 @@ def test_tiny_spread_on_a_large_level_survives(spark):
 
 
 @SLOW
-@given(st.lists(st.one_of(st.integers(0, 6).map(float), st.floats(-50, 50)), min_size=1, max_size=60), st.integers(1, 9))
+@given(st.lists(st.one_of(st.integers(0, 6).map(float), st.floats(-50, 50)), min_size=1, max_size=60), st.integers(2, 9))
 def test_exact_quantiles_match_numpy_for_any_number_of_bins(spark, values, bins):
     probs = [0.0, 0.1, 0.5, 0.9, 1.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = {r["prob"]: r["quantile"] for r in rows(exact_quantiles(df, ["x"], probs, bins=bins))}
+    got = {r["prob"]: r["quantile"] for r in rows(exact_quantiles(df, ["x"], probs, bins=bins, cell_rows=3))}
     for p in probs:
         assert got[p] == pytest.approx(np.quantile(values, p), abs=1e-9)
 
 
+def test_heavy_tails_are_cut_again(spark):
+    values = [float(2**i) for i in range(40)] + [float(i) for i in range(50)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = rows(exact_quantiles(df, ["x"], [0.25, 0.5], bins=8, cell_rows=4), "prob")
+    assert [r["quantile"] for r in got] == [np.quantile(values, 0.25), np.quantile(values, 0.5)]
+
+
+@SLOW
+@given(st.dictionaries(st.tuples(st.sampled_from("xy"), st.integers(0, 60)), st.integers(0, 9), min_size=1), st.integers(1, 20))
+def test_total_before_matches_a_running_sum(spark, cells, slice_size):
+    df = spark.createDataFrame([(k, o, v) for (k, o), v in cells.items()], "k string, o int, v int")
+    got = {(r["k"], r["o"]): r["t"] for r in rows(total_before(df, ["k"], "o", "v", "t", slice_size))}
+    assert got == {(k, o): sum(v for (k2, o2), v in cells.items() if k2 == k and o2 < o) for k, o in cells}
+
+
 def test_exact_quantiles_by_group_skip_nulls(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("a", None), ("b", 7.0)], "k string, x double")
     got = {r["k"]: r["quantile"] for r in rows(exact_quantiles(df, ["x"], [0.9], keys=["k"]))}
@@ -65,7 +80,7 @@ def test_exact_quantiles_by_group_skip_nulls(spark):
 
 
 @SLOW
-@given(st.lists(st.integers(0, 20).map(float), min_size=1, max_size=40), st.integers(1, 7))
+@given(st.lists(st.integers(0, 20).map(float), min_size=1, max_size=40), st.integers(2, 7))
 def test_positions_match_a_sort(spark, values, bins):
     df = spark.createDataFrame(list(enumerate(values)), "id int, x double")
     got = [r["id"] for r in rows(with_position(df, "x", ["id"], bins=bins), "position")]
