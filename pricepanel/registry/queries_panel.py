@@ -11,7 +11,7 @@ from pricepanel.operators import products as R
 from pricepanel.operators import sellers as L
 from pricepanel.plans import clean, profile
 from pricepanel.registry.core import query
-from pricepanel.registry.fixture import ANCHOR, TIE
+from pricepanel.registry.fixture import ANCHOR, CHECK_DAYS, TIE
 from pricepanel.session import stage
 
 QUOTE = "dateacc:d isbn seller rating:f fba:i numrating:f price2:f"
@@ -102,8 +102,6 @@ def anchor_products(f):
 
 @query(PANEL_ROW, "SELECT * FROM panel WHERE isbn NOT IN (SELECT isbn FROM unranked)")
 def unranked_products_anti(f):
-    from pricepanel.registry.fixture import CHECK_DAYS
-
     return K.drop_products(f.panel, K.unranked_products(f.profiles, CHECK_DAYS))
 
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricepanel import schemas
 from pricepanel.functions import text as TX
 from pricepanel.operators import text as X
 from pricepanel.registry.core import query
-from pricepanel.registry.fixture import OFFER_PAGE  # noqa: F401  (page text lives beside the panel)
+from pricepanel.registry.fixture import ANCHOR
 from pricepanel.registry.queries_panel import PANEL_ROW
 from pricepanel.registry.sql_blocks import dollars, inner
 from pricepanel.session import scratch_path, stage
@@ -106,8 +105,6 @@ OFFER = "page_id:i item pos:i seller rating fba:i numrating shipping:f price:f c
 
 @query(OFFER, "SELECT * FROM offers")
 def page_listing_explode(f):
-    from pricepanel.registry.fixture import ANCHOR
-
     return pages.page_listings(f.offer_pages, ANCHOR)
 
 
@@ -116,9 +113,8 @@ def page_listing_explode(f):
     "SELECT *, row_number() OVER (PARTITION BY item ORDER BY page_id, pos) AS position FROM offer_blocks",
 )
 def paged_position(f):
-    from pricepanel.registry.fixture import ANCHOR
-
-    return pages.paged_position(stage(pages.page_listings(f.offer_pages, ANCHOR).select("item", "page_id", "pos"), "offers"), "item", "page_id")
+    listings = stage(pages.page_listings(f.offer_pages, ANCHOR).select("item", "page_id", "pos"), "offers")
+    return pages.paged_position(listings, "item", "page_id")
 
 
 @query("p_partkey:i")

@@ -31,7 +31,7 @@ def rows(df, *order):
 def make_panel(spark):
     """Build a panel from (seller, isbn, day number, price, rank) tuples."""
 
-    def build(*quotes, **extra):
+    def build(*quotes):
         data = [(s, i, day(d), float(p), r) for s, i, d, p, r in quotes]
         return spark.createDataFrame(data, "seller string, isbn string, dateacc date, price2 double, rank int")
 

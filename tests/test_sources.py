@@ -1,8 +1,5 @@
 """Readers, page extraction and write-once sinks."""
 
-import datetime as dt
-
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -149,4 +146,3 @@ def test_schemas_name_every_unique_key():
     stores = {"profiles": schemas.PROFILES, "listings": schemas.LISTINGS, "listing_desc": schemas.LISTING_DESC}
     for name, keys in schemas.UNIQUE_KEYS.items():
         assert set(keys) <= set(stores[name].names)
-    assert dt.date(2012, 1, 1) == day(0) and pytest
