@@ -8,11 +8,13 @@
    frequencies only steer the order; every order finds every link.
 3. Rows (shingle, set) are dealt and sorted by shingle. A shingle of a few sets gives
    their pairs; one of many gives a chain of neighbours by size.
-4. A pair's bitmap signatures (at least two bits for each element) bound the
+4. A pair's bitmap signatures (at least four bits for each element) bound the
    intersection from above; what may still reach t is checked on the sorted arrays.
 5. For shingles of many sets, the sets that are not connected by then meet in tiles:
    sets of one shingle whose sizes lie in one band, or in the next, in blocks of
-   bounded size. Bitmaps bound all pairs of a tile at once; the rest is checked exactly.
+   bounded size. Bitmaps bound all pairs of a tile at once. First each set's likeliest
+   partner of another group is checked exactly, round by round, which joins large groups
+   at a row for each set; then every pair that is still apart.
 
 No step gathers a group: chains and tiles stand in for pairs inside a group of copies,
 and no link between different texts is lost, as every pair of sets that could link is
@@ -44,6 +46,8 @@ PERCENT = 80
 #: A shingle of up to this many sets gives all their pairs, of more a chain of these steps.
 DIRECT = 8
 CHAIN = (1, 2, 4)
+#: Rounds of likeliest partners end when fewer than one in so many of them links.
+ENOUGH = 20
 #: Sets per block of a tile.
 BLOCK = 512
 #: One in so many documents is read for common shingles, and at most so many shingles are sent to all tasks.
@@ -70,8 +74,8 @@ def signatures(found: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """A hashed bitmap of the next power of two from two bits for each element on."""
-    width = max(64, 1 << int(2 * len(found) - 1).bit_length())
+    """A hashed bitmap of the next power of two from four bits for each element on."""
+    width = max(64, 1 << int(4 * len(found) - 1).bit_length())
     bits = np.zeros(width, dtype=bool)
     bits[(tb.mix(found + _BITMAP) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -276,9 +280,11 @@ def verified(pairs: DataFrame, arrays: DataFrame, percent: int = PERCENT) -> Dat
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(keep, "a long, b long")
 
 
-def tile_pairs(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def tile_pairs(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, best: bool = False) -> DataFrame:
     """From (key, rid, n, root): pairs of one key, of different roots, that size and bitmaps allow.
 
+    With ``best``, only the likeliest partner of each set in its tile.
+
     Sets of one key meet in tiles of their size band and the next, cut into blocks; a tile is a
     pair of blocks and holds two blocks at most.
     """
@@ -303,7 +309,7 @@ def tile_pairs(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             maps = np.stack([fold(x, width) for x in maps])
             found = []
             for x in range(hi - lo):
-                other = np.arange(x + 1, hi - lo)
+                other = np.arange(0 if best else x + 1, hi - lo)
                 other = other[(root[other] != root[x]) & (guest[other] + guest[x] < 2)]
                 if low[x] != high[x]:
                     other = other[block[other] != block[x]]
@@ -311,7 +317,12 @@ def tile_pairs(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
                 if not len(other):
                     continue
                 bound = most_common(n[x], n[other], np.bitwise_count(maps[x] & ~maps[other]).sum(axis=1), np.bitwise_count(maps[other] & ~maps[x]).sum(axis=1))
-                other = other[reaches(bound, n[x], n[other], percent)]
+                good = reaches(bound, n[x], n[other], percent)
+                if best and good.any():
+                    share = np.where(good, bound / (n[x] + n[other] - bound), -1.0)
+                    other = other[share.argmax() :][:1]
+                else:
+                    other = other[good]
                 found.append(np.stack([np.minimum(rid[x], rid[other]), np.maximum(rid[x], rid[other])]))
             a, b = np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1)
             return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
@@ -362,10 +373,20 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     roots = components(links)
 
     crowded = near.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("rid"), "n")
-    named = crowded.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    named = stage(named, "crowded")
-    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    tiled = stage(tile_pairs(named.join(mixed, "key", "left_semi"), info, percent).distinct().join(hopeful, ["a", "b"], "left_anti"), "tiles")
+    checked = hopeful.select("a", "b")
+    while True:
+        # each set of a crowded shingle meets its likeliest partner outside its group, until few of them link
+        tiled = stage(tile_pairs(_mixed(crowded, roots), info, percent, best=True).distinct().join(checked, ["a", "b"], "left_anti"), "tiles")
+        more = stage(verified(tiled, _arrays(docs, tiled, classes, size), percent), "checked")
+        checked = checked.unionByName(tiled)
+        found = more.count()
+        if found:
+            links = links.unionByName(more)
+            roots = components(links)
+        if found * ENOUGH <= tiled.count():
+            break
+    # then what no partner decides: every pair of sets that are still apart
+    tiled = stage(tile_pairs(_mixed(crowded, roots), info, percent).distinct().join(checked, ["a", "b"], "left_anti"), "tiles")
     late = stage(verified(tiled, _arrays(docs, tiled, classes, size), percent), "checked")
     roots = components(links.unionByName(late))
 
@@ -382,6 +403,13 @@ def _arrays(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) ->
     return arrays_of(docs, classes.join(nodes, "row_id", "left_semi").select("row_id", "doc_id", *_CLASS), size)
 
 
+def _mixed(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of crowded shingles whose sets are not all connected, with the root of each set; a written table."""
+    named = crowded.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    return stage(named.join(mixed, "key", "left_semi").select("key", "rid", "n", "root"), "crowded")
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose two sets no chain of links connects yet."""
     a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
