@@ -58,13 +58,13 @@ def patch_anchor(df: DataFrame, anchor: str, cols: PanelColumns = PANEL) -> Data
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The first row per key in a stated total order.
+    """The first row per key in a stated total order; missing values come last.
 
     Written as ``min`` over a struct led by the order columns, so each task
     keeps one row per key before the shuffle: any number of copies of one key
     costs one row per task.
     """
-    lead = [S.column(c).alias(f"__o{i}") for i, c in enumerate(order)]
+    lead = [part for i, c in enumerate(order) for part in (S.column(c).isNull().alias(f"__n{i}"), S.column(c).alias(f"__o{i}"))]
     led = {c: f"__best.__o{i}" for i, c in enumerate(order) if isinstance(c, str)}
     rest = [c for c in df.columns if c not in keys and c not in led]
     best = F.min(F.struct(*lead, *rest)).alias("__best")
@@ -78,8 +78,9 @@ def dedup_seller_day(quotes: DataFrame, tie: list[str], cols: PanelColumns = PAN
 
 
 def dedup_rank_day(quotes: DataFrame, tie: list[str], cols: PanelColumns = PANEL) -> DataFrame:
-    """One quote per product, day and rank."""
-    return first_by(quotes, [*cols.product_day, cols.rank], tie)
+    """One quote per product, day and rank; quotes without a rank all stay."""
+    alone = quotes.withColumn("__alone", F.when(F.col(cols.rank).isNull(), F.struct(*cols.pair)))
+    return first_by(alone, [*cols.product_day, cols.rank, "__alone"], tie).drop("__alone")
 
 
 def price_ladder(quotes: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:

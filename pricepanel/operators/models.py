@@ -10,17 +10,19 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, RFormula, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import UnsupportedOperationException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricepanel.functions.ordered import with_position
 from pricepanel.operators import stats
+from pricepanel.session import stage
 from pricepanel.sources.tables import spread
 
 STARTS = 100  # fixed value: k-means starts of which the best is kept
-START_POOL = 1024  # rows, drawn by hash, from which the starts take their first centres
-RACE_SHIFT = 1e-2  # standard deviations a centre may still move when the starts are compared
+MOST_ROUNDS = 10_000  # fixed value: rounds after which a start that still moves is reported
 STILL = 1e-9
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -42,8 +44,8 @@ def _start_sums(block: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.
     return count, sums, cost
 
 
-def _move(data: DataFrame, columns: list[str], centres: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
-    """Move the centres of several starts until none shifts by more than ``tol``; centres and costs.
+def _move(data: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Move the centres of several starts until each stands still; centres and costs.
 
     In each round a task reduces its rows to counts and sums per start and
     cluster, Spark adds those up, and one small row per start and cluster
@@ -52,7 +54,7 @@ def _move(data: DataFrame, columns: list[str], centres: np.ndarray, max_iter: in
     starts, k, width = centres.shape
     centres, costs, moving = centres.copy(), np.full(starts, np.inf), np.arange(starts)
     totals = [F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(width)]
-    for _ in range(max_iter):
+    for _ in range(MOST_ROUNDS):
         now = centres[moving]
 
         def reduce_rows(frames):
@@ -75,27 +77,57 @@ def _move(data: DataFrame, columns: list[str], centres: np.ndarray, max_iter: in
         moved = np.where(n > 0, sums / np.maximum(n, 1), now)
         costs[moving] = added["cost"].to_numpy(dtype=float).reshape(len(moving), k).sum(1)
         centres[moving] = moved
-        moving = moving[np.abs(moved - now).max((1, 2)) > tol]
+        still = STILL * np.maximum(1.0, np.abs(now).max((1, 2)))
+        moving = moving[np.abs(moved - now).max((1, 2)) > still]
         if not len(moving):
-            break
-    return centres, costs
+            return centres, costs
+    raise RuntimeError(f"{len(moving)} of {starts} starts still move after {MOST_ROUNDS} rounds")
 
 
-def best_centres(points: DataFrame, columns: list[str], k: int, starts: int = STARTS, max_iter: int = 200, seed: int = 0) -> list[list[float]]:
+def first_centres(data: DataFrame, columns: list[str], k: int, starts: int, seed: int) -> np.ndarray:
+    """``k`` distinct rows for every start, drawn by hash from all distinct rows.
+
+    A task keeps its ``k`` lowest draws per start, whatever the number of its
+    rows or of their copies.
+    """
+    salts = np.random.default_rng(seed).integers(0, 2**63, starts).astype(np.uint64)
+
+    def lowest(frames):
+        kept = [(np.zeros(0, np.uint64), np.zeros((0, len(columns))))] * starts
+        for frame in frames:
+            frame = frame.drop_duplicates("__mark")
+            values, marks = frame[columns].to_numpy(dtype=float), frame["__mark"].to_numpy(dtype=np.int64).view(np.uint64)
+            for s, (draws, rows) in enumerate(kept):
+                mine = (marks ^ salts[s]) * _SPREAD
+                mine ^= mine >> np.uint64(32)
+                mine *= _SPREAD
+                low = np.argpartition(mine, k)[:k] if len(mine) > k else np.arange(len(mine))
+                draws, at = np.unique(np.concatenate([draws, mine[low]]), return_index=True)
+                kept[s] = draws[:k], np.concatenate([rows, values[low]])[at[:k]]
+        drawn = [(s, d, r) for s, (draws, rows) in enumerate(kept) for d, r in zip(draws.view(np.int64).tolist(), rows.tolist())]
+        yield pd.DataFrame(drawn, columns=["start", "draw", "row"])
+
+    # adding zero makes the two zeros one value
+    plain = data.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in columns])
+    marked = plain.withColumn("__mark", F.xxhash64(*columns))
+    drawn = marked.mapInPandas(lowest, "start int, draw long, row array<double>").dropDuplicates(["start", "draw"])
+    place = F.row_number().over(Window.partitionBy("start").orderBy("draw"))
+    # tasks keep their lowest draws in unsigned order, which flipping the sign bit keeps
+    drawn = drawn.withColumn("draw", F.col("draw").bitwiseXOR(F.lit(-(2**63))))
+    rows = drawn.withColumn("place", place).filter(F.col("place") <= k).orderBy("start", "place").collect()
+    if len(rows) < starts * k:
+        raise ValueError(f"{k} clusters need at least {k} distinct rows")
+    return np.array([r["row"] for r in rows]).reshape(starts, k, len(columns))
+
+
+def best_centres(points: DataFrame, columns: list[str], k: int, starts: int = STARTS, seed: int = 0) -> list[list[float]]:
     """Centres of the best of many k-means starts, all of them moved by the same scans.
 
-    Every start begins at ``k`` distinct rows. The starts race until they hardly
-    move; the one with the lowest cost is then moved until it stands still.
+    Every start begins at ``k`` distinct rows and is moved until it stands still.
     """
     data = points.select(*columns)
-    drawn = data.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(max(starts * k, START_POOL)).collect()
-    pool = np.unique(np.array([list(r) for r in drawn], dtype=float), axis=0)
-    if len(pool) < k:
-        raise ValueError(f"{k} clusters need at least {k} distinct rows")
-    draws = [np.random.default_rng([seed, s]).choice(len(pool), k, replace=False) for s in range(starts)]
-    raced, costs = _move(data, columns, np.stack([pool[d] for d in draws]), max_iter, RACE_SHIFT)
-    final, _ = _move(data, columns, raced[[int(costs.argmin())]], max_iter, STILL)
-    return final[0].tolist()
+    final, costs = _move(data, first_centres(data, columns, k, starts, seed))
+    return final[int(costs.argmin())].tolist()
 
 
 def cluster_rows(df: DataFrame, columns: list[str], k: int, starts: int = STARTS) -> DataFrame:
@@ -147,14 +179,15 @@ def coefficient_table(model, terms: list[str], spark) -> DataFrame:
     try:
         columns = (s.coefficientStandardErrors, s.tValues, s.pValues)
         errors = list(zip(*[[float(x) for x in c] for c in columns]))
-    except Exception:  # MLlib raises for a fit without an invertible normal matrix
+    except UnsupportedOperationException:  # a fit without an invertible normal matrix
         errors = [(None, None, None)] * len(estimates)
     rows = [(t, e, *x) for t, e, x in zip([*terms, "(Intercept)"], estimates, errors)]
     return spark.createDataFrame(rows, "term string, estimate double, std_error double, t_value double, p_value double")
 
 
 def _design(df: DataFrame, y: str, numeric: list[str], factors: list[str]) -> DataFrame:
-    rows = df.select(y, *numeric, *factors).dropna()
+    """Label and features as MLlib takes them; the rows are written once, as several passes read them."""
+    rows = stage(df.select(y, *numeric, *factors).dropna(), "design")
     numeric, factors = _usable(rows, numeric, factors)
     formula = RFormula(
         formula=f"{y} ~ {' + '.join([*factors, *numeric])}", stringIndexerOrderType="alphabetDesc", labelCol="label"

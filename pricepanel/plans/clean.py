@@ -11,20 +11,29 @@ from pricepanel.operators import panel as P
 from pricepanel.schemas import PANEL, PanelColumns
 
 
-def ranked_quotes(raw: DataFrame, list_prices: DataFrame, tie: list[str], cols: PanelColumns = PANEL) -> DataFrame:
+def ranked_quotes(
+    raw: DataFrame, list_prices: DataFrame, tie: list[str], cols: PanelColumns = PANEL, captured_rank: bool = False
+) -> DataFrame:
     """Raw quotes to one ranked quote per seller, product and day, outliers out.
 
     The ladder gives rank and median in one join. Both outlier rules only cut
     quotes from some price upward in a product-day, so a rank counted before
-    the cut is also the rank after it.
+    the cut is also the rank after it. With ``captured_rank`` the rank in the
+    raw layout is kept instead, and of quotes that share one the first stays;
+    otherwise a captured rank is dropped.
     """
+    if not captured_rank:
+        raw = raw.drop(cols.rank)
     quotes = K.dedup_seller_day(K.clean_quotes(raw, cols), tie, cols)
+    if captured_rank:
+        cut = K.drop_above_list(K.drop_above_median(quotes, cols=cols).drop("price_median"), list_prices, cols)
+        return K.dedup_rank_day(cut, tie, cols).drop("list_price", *tie_only(tie, cols))
     ranked = K.snapshot_rank(quotes, cols).filter(K.below_median_cut(cols)).drop("price_median")
     return K.drop_above_list(ranked, list_prices, cols).drop("list_price", *tie_only(tie, cols))
 
 
 def tie_only(tie: list[str], cols: PanelColumns) -> list[str]:
-    return [c for c in tie if c != cols.price]
+    return [c for c in tie if c not in (cols.price, cols.rank)]
 
 
 def clean_panel(
@@ -35,12 +44,13 @@ def clean_panel(
     tie: list[str],
     floor: float | Column = K.PRICE_FLOOR,
     cols: PanelColumns = PANEL,
+    captured_rank: bool = False,
 ) -> DataFrame:
     """The clean panel: typed, deduplicated, ranked, screened by product, with observation lags.
 
     Lags look at all days of a kept pair; the date bound comes last.
     """
-    ranked = K.patch_anchor(ranked_quotes(raw, list_prices, tie, cols), anchor, cols)
+    ranked = K.patch_anchor(ranked_quotes(raw, list_prices, tie, cols, captured_rank), anchor, cols)
     return screen_panel(ranked, anchor, start, floor, cols)
 
 

@@ -133,12 +133,12 @@ def _store(f, rows, keys, order, day=None):
 
 @query(
     "dateacc:d isbn seller:i event_id:i value:f",
-    """SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY dateacc, isbn, seller
+    """SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY dateacc, isbn
          ORDER BY CASE WHEN dateacc < DATE '2024-01-15' THEN 0 ELSE 1 END, ts, event_id) = 1""",
 )
 def insert_ignore_profiles(f):
     rows = f.snapshots.withColumn("first_batch", F.col("dateacc") < F.to_date(F.lit("2024-01-15")))
-    return _store(f, rows, ["dateacc", "isbn", "seller"], ["ts", "event_id"], day="dateacc")
+    return _store(f, rows, schemas.UNIQUE_KEYS["profiles"], ["ts", "event_id"], day="dateacc")
 
 
 @query(
@@ -150,7 +150,7 @@ def insert_ignore_listings(f):
     rows = f.raw.select("dateacc", "isbn", "seller", "price", "l_orderkey", "l_linenumber", "l_partkey").withColumn(
         "first_batch", F.col("l_orderkey") % 2 == 0
     )
-    return _store(f, rows, schemas.UNIQUE_KEYS["listings"], ["l_orderkey", "l_linenumber", "l_partkey"])
+    return _store(f, rows, schemas.UNIQUE_KEYS["listings"], ["l_orderkey", "l_linenumber", "l_partkey"], day="dateacc")
 
 
 @query(

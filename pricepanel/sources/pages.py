@@ -32,15 +32,32 @@ RATING_COUNT = r"([\d,]+) total ratings"
 ORIGIN = r"Ships from ([\w,\s]+)."
 
 
+NESTED = 6  # levels of equal tags that an element may hold
+
+
 def found(text: str | Column, pattern: str) -> Column:
     """The first capture of a pattern, null without a match."""
     value = F.regexp_extract(S.column(text), pattern, 1)
     return F.when(value != "", value)
 
 
+def balanced(tag: str, depth: int = NESTED) -> str:
+    """A pattern of text in which every ``tag`` that opens also closes."""
+    plain = rf"[^<]++|<(?!/?{tag}\b)"
+    inner = rf"(?:{plain})*+"
+    for _ in range(depth):
+        inner = rf"(?:{plain}|<{tag}\b[^>]*>{inner}</{tag}>)*+"
+    return inner
+
+
 def element_text(html: str | Column, tag: str, mark: str) -> Column:
-    """Text inside the first element of a tag and class, tags out; null without the element."""
-    inner = F.regexp_extract(S.column(html), rf'(?s)(<{tag}[^>]*class="{mark}"[^>]*>.*?)</{tag}>', 1)
+    """Text inside the first element of a tag and class, tags out; null without the element.
+
+    The element ends at its own closing tag. Where tags do not balance, it ends at the first closing tag.
+    """
+    opening = rf'(?s)(<{tag}[^>]*class="{mark}"[^>]*>'
+    whole = F.regexp_extract(S.column(html), rf"{opening}{balanced(tag)})</{tag}>", 1)
+    inner = F.when(whole != "", whole).otherwise(F.regexp_extract(S.column(html), rf"{opening}.*?)</{tag}>", 1))
     return F.when(inner != "", F.trim(F.regexp_replace(inner, r"<[^>]*>", "")))
 
 

@@ -24,24 +24,36 @@ def create_store(spark: SparkSession, path: str, schema: T.StructType, partition
     spark.createDataFrame([], schema).write.partitionBy(*(partition_by or [])).parquet(path)
 
 
+def _less_stored(fresh: DataFrame, stored: DataFrame, keys: list[str], day: str | None) -> DataFrame:
+    """Rows whose key is not stored; a null in a key equals a null."""
+    if day:  # one row for each day of the batch
+        days = [r[0] for r in fresh.select(day).distinct().collect()]
+        held = F.col(day).isin([d for d in days if d is not None])
+        stored = stored.filter(held | F.col(day).isNull() if None in days else held)
+    marks = stored.select(*[F.col(c).alias(f"__stored_{c}") for c in keys])
+    same = [F.col(c).eqNullSafe(F.col(f"__stored_{c}")) for c in keys]
+    return fresh.join(marks, same, "left_anti")
+
+
 def unseen(batch: DataFrame, stored: DataFrame, keys: list[str], order: list, day: str | None = None) -> DataFrame:
-    """First row per key of a batch, less the keys already stored.
+    """First row per key of a batch, less the keys already stored; null keys count as equal.
 
     With ``day``, a column that partitions the store and is one of the keys,
-    only the partitions between the batch's first and last day are read.
+    only the partitions of the batch's own days are read.
     """
-    fresh = first_by(batch, keys, order)
-    if day:
-        bounds = batch.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-        stored = stored.filter(F.col(day).between(bounds.select("lo").scalar(), bounds.select("hi").scalar()))
-    return fresh.join(stored.select(*keys), keys, "left_anti")
+    return _less_stored(first_by(batch, keys, order), stored, keys, day)
 
 
 def insert_ignore(batch: DataFrame, path: str, schema: T.StructType, keys: list[str], order: list, day: str | None = None) -> None:
     """Append the rows whose key the table does not hold yet; the first write of a key stays.
 
     Running the same batch again adds nothing, so a retried batch is harmless.
+    The batch is read once.
     """
     stored = batch.sparkSession.read.schema(schema).parquet(path)
-    fresh = unseen(batch, stored, keys, order, day).select(*schema.names)
-    fresh.write.mode("append").partitionBy(*([day] if day else [])).parquet(path)
+    first = first_by(batch, keys, order).persist()
+    try:
+        fresh = _less_stored(first, stored, keys, day).select(*schema.names)
+        fresh.write.mode("append").partitionBy(*([day] if day else [])).parquet(path)
+    finally:
+        first.unpersist()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from conftest import day, rows
 from pricepanel.functions import scalars as S
+from pricepanel import schemas
 from pricepanel.operators import cleaning as K
+from pricepanel.plans import clean
 
 RAW = "dateacc string, isbn string, seller string, rating string, fba int, numrating string, shipping double, price double, condition string"
 
@@ -72,6 +74,33 @@ def test_rank_dedup_does_not_cross_products(make_panel):
     assert [(r["isbn"], r["seller"]) for r in kept] == [("x", "b"), ("y", "c")]
 
 
+def test_a_missing_price_never_beats_a_price(spark):
+    schema = "seller string, isbn string, dateacc date, price2 double, tie int"
+    df = spark.createDataFrame([("a", "x", day(0), None, 1), ("a", "x", day(0), 9.0, 2), ("b", "x", day(0), None, 1)], schema)
+    kept = rows(K.dedup_seller_day(df, ["price2", "tie"]), "seller")
+    assert [(r["seller"], r["price2"], r["tie"]) for r in kept] == [("a", 9.0, 2), ("b", None, 1)]
+
+
+def test_quotes_without_a_captured_rank_all_stay(make_panel):
+    df = make_panel(("a", "x", 0, 5, 1), ("b", "x", 0, 4, 1), ("c", "x", 0, 6, 2), ("d", "x", 0, 7, 3))
+    df = df.withColumn("rank", F.when(F.col("seller") < "c", F.col("rank")))
+    assert [r["seller"] for r in rows(K.dedup_rank_day(df, ["price2"]), "seller")] == ["b", "c", "d"]
+
+
+def test_clean_panel_takes_the_raw_layout(spark):
+    quote = lambda seller, price, rank, n: ("2012-01-0%d" % n, "01", seller, "90%", 0, "5", 0.0, price, "used", rank)
+    data = [quote("A", 10.0, 1, 1), quote("b", 11.0, 1, 1), quote("c", 9.0, 2, 1), quote("c", None, 3, 1), quote("A", 10.0, 1, 2)]
+    df = spark.createDataFrame(data, schemas.LISTINGS)
+    prices = spark.createDataFrame([("01", 20.0)], "isbn string, list_price double")
+    panel = lambda **mode: clean.clean_panel(df, prices, "A", "2011-08-30", ["price2"], **mode)
+    counted, captured = panel(), panel(captured_rank=True)
+    for got in (counted, captured):
+        assert len(got.columns) == len(set(got.columns))
+    place = lambda got: [(str(r["dateacc"]), r["seller"], r["price2"], r["rank"]) for r in rows(got, "dateacc", "seller")]
+    assert place(counted) == [("2012-01-01", "A", 10.0, 2), ("2012-01-01", "b", 11.0, 3), ("2012-01-01", "c", 9.0, 1), ("2012-01-02", "A", 10.0, 1)]
+    assert place(captured) == [("2012-01-01", "A", 10.0, 1), ("2012-01-01", "c", 9.0, 2), ("2012-01-02", "A", 10.0, 1)]
+
+
 def test_first_by_holds_under_many_copies_of_one_key(spark):
     df = spark.range(20000, numPartitions=8).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 20000).alias("v"))
     assert rows(K.first_by(df, ["k"], ["v"])) == [{"k": "k", "v": 0}]

@@ -67,6 +67,21 @@ def test_many_starts_never_cost_more_than_one(frame, points):
     assert many <= mllib * 1.001
 
 
+def test_repeated_rows_give_their_distinct_points(spark):
+    copies = spark.range(2000).select(F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(0.0, 0.0), (1.0, 0.0), (0.0, 5.0)]])).alias("p"))
+    got = M.best_centres(copies.select("p.x", "p.y"), ["x", "y"], 3, starts=4)
+    assert sorted(got) == [[0.0, 0.0], [0.0, 5.0], [1.0, 0.0]]
+
+
+def test_first_centres_come_from_the_whole_table(spark):
+    df = spark.range(5000, numPartitions=4).select(F.col("id").cast("double").alias("x"))
+    drawn = M.first_centres(df, ["x"], 3, 100, 0)
+    assert drawn.shape == (100, 3, 1) and all(len(set(d.ravel())) == 3 for d in drawn)
+    assert len(set(drawn.ravel())) > 250 and abs(drawn.mean() - 2500) < 400
+    again = M.first_centres(df.repartition(7).unionByName(df), ["x"], 3, 100, 0)
+    assert again.tolist() == drawn.tolist()
+
+
 def test_too_few_distinct_rows_are_refused(spark):
     with pytest.raises(ValueError):
         M.best_centres(spark.createDataFrame([(1.0,), (1.0,)], "x double"), ["x"], 2, starts=2)

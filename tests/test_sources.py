@@ -31,6 +31,15 @@ def test_listing_blocks_become_rows(spark):
     assert (bare["rating"], bare["numrating"], bare["comments"]) == (None, None, None)
 
 
+def test_nested_elements_end_at_their_own_tag(spark):
+    block = '<tbody class="result"><div class="comments">first <div>inner <div>deep</div></div> second<span>!</span></div><div class="condition">New</div></tbody>'
+    broken = '<tbody class="result"><div class="comments">open <div>never closed</div><span class="price">$1.00</span></tbody>'
+    df = spark.createDataFrame([(block + broken,)], "html string")
+    whole, cut = rows(pages.page_listings(df, "A"), "pos")
+    assert (whole["comments"], whole["condition"]) == ("first inner deep second!", "New")
+    assert (cut["comments"], cut["price"]) == ("open never closed", 1.0)
+
+
 def test_profile_page(spark):
     html = '<div id="priceBlock"><span class="priceLarge">$12.30</span></div> 4.0 out of 5 stars <h2>Product Details</h2><ul>{}</ul>'
     full = html.format("4.5 out of 5 stars (27 customer reviews) #1,234,567 in Books")
@@ -120,6 +129,16 @@ def test_insert_ignore_keeps_the_first_write(spark, batches):
     assert got == want
 
 
+def test_null_keys_are_written_once(spark):
+    schema = spark.createDataFrame([], SNAPSHOT).schema
+    path = scratch_path(spark, "nulls")
+    sinks.create_store(spark, path, schema, ["dateacc"])
+    batch = spark.createDataFrame([(None, "x", 1), (day(0), None, 2), (None, None, 3), (day(0), "x", 4)], SNAPSHOT)
+    for _ in range(3):
+        sinks.insert_ignore(batch, path, schema, ["dateacc", "isbn"], ["seq"], day="dateacc")
+    assert [r["seq"] for r in rows(spark.read.schema(schema).parquet(path), "seq")] == [1, 2, 3, 4]
+
+
 def test_insert_reads_only_the_days_of_the_batch(spark):
     schema = spark.createDataFrame([], SNAPSHOT).schema
     path = scratch_path(spark, "pruned")
