@@ -58,6 +58,7 @@ ORDER_COUNT = 3
 _SIGNATURE = np.uint64(0x5851F42D4C957F2D)
 _BITMAP = np.uint64(0x14057B7EF767814F)
 _CLASS = ["n", "sig1", "sig2"]
+_TEXT = ["_text1", "_text2"]
 
 
 def document_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -131,8 +132,9 @@ def common_shingles(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, n
 
 
 def sketch(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: number, id, set size, two signatures, bitmap, and prefix of its set."""
+    """One row per document: number, id, set size, two signatures, bitmap, and prefix of its set; then any further columns, all long."""
     common, ranks = common_shingles(docs, size)
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, before = TaskContext.get().partitionId(), 0
@@ -146,11 +148,12 @@ def sketch(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
                 yield pa.record_batch([
                     tables.row_numbers(task, before, len(sets)), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
-                    pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), keys,
-                ], ["row_id", "doc_id", "n", "sig1", "sig2", "bits", "keys"])
+                    pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), keys, *(part.column(c) for c in more),
+                ], ["row_id", "doc_id", "n", "sig1", "sig2", "bits", "keys", *more])
                 before += len(sets)
 
-    return docs.mapInArrow(rows, "row_id long, doc_id long, n long, sig1 long, sig2 long, bits binary, keys array<long>")
+    kinds = ["row_id long, doc_id long, n long, sig1 long, sig2 long, bits binary, keys array<long>", *(f"{c} long" for c in more)]
+    return docs.mapInArrow(rows, ", ".join(kinds))
 
 
 def _pairs_of(key: np.ndarray, rid: np.ndarray, n: np.ndarray, steps, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -348,9 +351,8 @@ def tile_pairs(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, best: b
     return dealt.mapInArrow(scan, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
-    docs = tables.texts(docs)
+def _linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all documents, and the classes of equal sets with the root of each one's group."""
     rows = stage(sketch(docs, size, percent), "sets")
     light = rows.where("n > 0").select("row_id", "doc_id", *_CLASS)
     classes = stage(light.groupBy(*_CLASS).agg(F.min(F.struct("row_id", "doc_id")).alias("one"), F.min("doc_id").alias("least")), "classes")
@@ -390,7 +392,13 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     late = stage(verified(tiled, _arrays(docs, tiled, classes, size), percent), "checked")
     roots = components(links.unionByName(late))
 
-    named = classes.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
+    return rows, classes.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
+
+
+def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
+    rows, named = _linked(tables.texts(docs), size, percent)
+    light = rows.where("n > 0").select("doc_id", *_CLASS)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     grouped = named.join(least, "root").select(*_CLASS, "component_id")
     linked = light.join(grouped, _CLASS).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -419,17 +427,34 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents of smallest id of each group, with all their columns.
+    """The document of smallest id of each group, with all its columns.
 
-    Rows that share an id, or have none, count as one document for each text among them.
+    Each text is judged by its own group, also where rows share an id or have none. Of a group's texts under its
+    smallest id, or of a group without any id, that of smallest hash stays. Rows without shingles all stay; rows
+    of equal id and text count as one document.
     """
-    groups = stage(similar_groups(docs), "groups")
-    own = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("component_id").alias("least"))
-    stays = own.where("doc_id = least or least is null").select(F.col("doc_id").alias("_kept"), ((F.col("k") > 1) | F.col("doc_id").isNull()).alias("_odd"))
-    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")))
-    plain = kept.where("not _odd")
-    odd = kept.where("_odd").dropDuplicates(["doc_id", "text"]) if not stays.where("_odd").isEmpty() else None
-    return (plain.unionByName(odd) if odd is not None else plain).select(docs.columns)
+    rows, named = _linked(_marked(tables.texts(docs)))
+    rows = rows.select("doc_id", "n", "sig1", "sig2", *_TEXT)
+    # the choice is made for each class of equal sets first, then for each group
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *_TEXT)
+    best = rows.where("n > 0").groupBy(*_CLASS).agg(F.min(order).alias("best"))
+    best = best.join(named.select(*_CLASS, "root"), _CLASS).groupBy("root").agg(F.min("best").alias("best"))
+    stays = best.select("best.doc_id", *(f"best.{c}" for c in _TEXT))
+    again = rows.groupBy("doc_id", *_TEXT).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
+    keys = [F.col(f"own.{c}").eqNullSafe(F.col(f"stays.{c}")) for c in ("doc_id", *_TEXT)]
+    own = again.alias("own").join(stays.withColumn("chosen", F.lit(True)).alias("stays"), keys, "left").where("own.n = 0 or chosen")
+    own = stage(own.select(F.col("own.doc_id").alias("_kept"), *(F.col(f"own.{c}").alias(f"_own{c}") for c in _TEXT), (F.col("k") > 1).alias("_again")), "kept")
+    kept = _marked(docs).join(own, [F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), *(F.col(c) == F.col(f"_own{c}") for c in _TEXT)])
+    plain, odd = kept.where("not _again"), kept.where("_again")
+    if not own.where("_again").isEmpty():
+        plain = plain.unionByName(odd.dropDuplicates(["doc_id", "text"]))
+    return plain.select(docs.columns)
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """With two hashes of the text, which tell equal texts."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({_TEXT[0]: F.xxhash64(text), _TEXT[1]: F.xxhash64(F.lit(1), text)})
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

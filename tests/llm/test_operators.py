@@ -256,6 +256,22 @@ def test_one_document_of_each_group_stays(docs_of):
     assert jaccard_join.similar_groups(docs_of()).count() == 0
 
 
+def test_each_text_is_judged_by_its_own_group(docs_of):
+    def text(mark, n=40):
+        return " ".join(f"{mark}{k}" for k in range(n))
+
+    near = text("a")[:-3] + "end"
+    # null ids: one near copy of id 3 beside texts without any copy, and a group that has no id at all
+    nulls = [(3, text("a")), (None, near), (None, text("b")), (None, text("c")), (None, text("d")), (None, text("d").upper()), (None, None), (None, "")]
+    # id 5: one text is a near copy of id 3, the other leads a group of its own; id 6 repeats a row
+    shared = [(5, near + " more"), (5, text("e")), (7, text("e") + " more"), (6, text("f")), (6, text("f")), (8, text("g")), (8, text("g").upper()), (8, text("h"))]
+    docs = docs_of(*nulls, *shared).repartition(7)
+    got = collections.Counter((r["doc_id"], (r["text"] or "-").lower()) for r in jaccard_join.one_of_each_group(docs).collect())
+    kept = [(3, "a"), (None, "b"), (None, "c"), (None, "d"), (5, "e"), (6, "f"), (8, "g"), (8, "h")]
+    assert got == collections.Counter([(i, text(mark)) for i, mark in kept] + [(None, "-"), (None, "-")])
+    assert jaccard_join.one_of_each_group(docs).columns == docs.columns
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
