@@ -6,8 +6,10 @@ thing, and passages with digits that hold none. Texts are cut into overlapping w
 averaged where they overlap, weighted towards each window's middle, and one best path is decoded for the whole
 stretch, so that a span at a window's edge is found once and whole.
 
-A span of any kind holds a digit or an at sign. Windows without one cannot hold a span and are not run; all
-other windows of every text are. A span of the tagger that meets a fixed form gives way to it.
+A span that ``plausible`` accepts holds a digit, an at sign, or another way of writing one ((at), [at], the word at)
+with a dot form behind it. Windows that none of these reaches cannot hold a span and are not run; all other windows of
+every text are, around an at form with one more on both sides, so that a span is scored there as in a run of all windows.
+A span of the tagger that meets a fixed form gives way to it.
 
 Defined results: null text is empty; rows with equal or null doc_id are rows of their own; an empty table, or a sample
 without any span, adds nothing and gives the fixed forms alone; other columns play no part.
@@ -33,7 +35,9 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile("[0-9@]")
-
+#: Longest e-mail that the tagger may add, and the place in it that every form has.
+LONGEST = 80
+AT = re.compile(rf"@|[( \[](?=(?:(?<=\()at\)|(?<=\[)at\]|(?<= )at ) ?\S{{1,{LONGEST}}}? ?(?:\.|\(dot\)|\[dot\]| dot ) ?\S)")
 WINDOW, STRIDE = 96, 48
 #: Labelled passages for training at most, and passes over them.
 SAMPLE = 1200
@@ -82,11 +86,13 @@ def signs_of(text: str) -> np.ndarray:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Runs of grid windows that hold a digit or an at sign: starts and ends, which lie on the grid."""
+    """Runs of grid windows that may hold a span: starts and ends, which lie on the grid."""
     found: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        low = max(0, (m.start() // STRIDE - 1) * STRIDE)
-        high = min(-(-len(text) // STRIDE) * STRIDE, (m.start() // STRIDE + 2) * STRIDE)
+    places = [(m.start(), m.start()) for m in TRIGGER.finditer(text)]
+    places += [(m.start() - LONGEST, m.start() + LONGEST) for m in AT.finditer(text)]
+    for first, last in sorted(places):
+        low = max(0, (first // STRIDE - 1) * STRIDE)
+        high = min(-(-len(text) // STRIDE) * STRIDE, (last // STRIDE + 2) * STRIDE)
         if found and low <= found[-1][1]:
             found[-1][1] = max(high, found[-1][1])
         else:
@@ -97,7 +103,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
 def plausible(kind: int, value: str) -> bool:
     digits = len(re.sub("[^0-9]", "", value))
     if kind == 0:
-        return bool(re.fullmatch(r"\S+ ?(@|\(at\)|\[at\]| at ) ?\S+( ?(\.|\(dot\)|\[dot\]| dot ) ?\S+)+", value)) and len(value) <= 80
+        return bool(re.fullmatch(r"\S+ ?(@|\(at\)|\[at\]| at ) ?\S+( ?(\.|\(dot\)|\[dot\]| dot ) ?\S+)+", value)) and len(value) <= LONGEST
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]{1,3}([ .:,()\[\]-]|dot){1,5}[0-9]{1,3}(([ .:,()\[\]-]|dot){1,5}[0-9]{1,3}){2}", value)) and all(int(x) <= 255 for x in re.findall("[0-9]+", value))
     if not re.fullmatch(r"[+(]?[0-9][0-9 ().\-/]*[0-9]", value):

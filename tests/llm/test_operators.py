@@ -376,6 +376,49 @@ def test_tagger_learns_forms_that_were_held_out():
     assert sum(s[0] in f for (_, s), f in zip(held, found)) >= 0.8 * len(held)
 
 
+def test_windows_cover_every_form_of_an_address():
+    rng = random.Random(6)
+    for at in ("@", " @ ", "(at)", " (at) ", "[at]", " [at] ", " at ", "  at  "):
+        for dot in (".", " . ", "(dot)", " (dot) ", "[dot]", " [dot] ", " dot "):
+            for _ in range(20):
+                size = rng.choice([3, 55])
+                value = "n" * size + at + "h" * rng.choice([1, 58 - size]) + dot + "org"
+                assert personal_data.plausible(0, value)
+                start = 5 * rng.randint(0, 60)
+                text = "wort " * (start // 5) + value + " wort" * rng.randint(0, 60)
+                assert any(a <= start and start + len(value) <= b for a, b in personal_data.stretches(text))
+    assert personal_data.stretches("they met at home and stayed at work " * 9) == []
+
+
+class Knows:
+    """A tagger that tags the values it is given, wherever their windows are run."""
+
+    def __init__(self, *values):
+        self.values = [personal_data.signs_of(v) for v in values]
+
+    def emissions(self, signs):
+        out = np.zeros((*signs.shape, personal_data.N_TAGS), np.float32)
+        out[..., 0] = signs
+        return out
+
+    def decode(self, scores, lengths):
+        signs, tags = np.rint(scores[..., 0]).astype(np.int64), np.zeros(scores.shape[:2], np.int64)
+        for row, n in enumerate(lengths.tolist()):
+            for value in self.values:
+                for a in range(n - len(value) + 1):
+                    if (signs[row, a : a + len(value)] == value).all():
+                        tags[row, a : a + len(value)] = 2
+                        tags[row, a] = 1
+        return tags
+
+
+def test_rewritten_addresses_are_tagged_without_digits():
+    values = ["jane.doe (at) example (dot) org", "jane at example dot com", "jane(at)example.com", "jane [at] example [dot] com"]
+    texts = ["some plain prose " * 20 + f"write to {v} or call" + " some more prose" * k for k, v in enumerate(values * 3)]
+    found = personal_data.tag_texts(Knows(*values), texts)
+    assert [[t[a:b] for _, a, b in f] for t, f in zip(texts, found)] == [[v] for v in values * 3]
+
+
 def test_gradient_of_the_tagger():
     from pricepanel.llm.bilstm_crf import Tagger
 
