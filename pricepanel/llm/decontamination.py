@@ -20,8 +20,11 @@ The items are sent to all tasks in blocks of bounded size, one pass over the doc
 Recall: a passage is lost only if none of its samples agrees (at most 1 - ``RECALL`` at the largest distance,
 never for exact copies).
 
-Defined results: null texts and items are empty; items of fewer than ``MIN_ITEM`` bytes after normalising have no
-matches, as chance alone would give some; equal items are matched each under its id; rows with equal or null
+Items of fewer than ``MIN_ITEM`` bytes after normalising are matched exactly, from word bound to word bound, by hashes
+of their words and then their bytes.
+
+Defined results: null texts and items are empty, and so are items without a letter or digit, which have no matches;
+of several places of a short item the first one counts; equal items are matched each under its id; rows with equal or null
 doc_id are matched each; empty tables give no rows; other columns play no part.
 """
 
@@ -141,6 +144,8 @@ class Index:
     classes: list[SizeClass]
     rate: float
     own_grams: list[np.ndarray]
+    #: Short items by their number of words: their sorted hashes, and the items of each.
+    short: dict[int, tuple[np.ndarray, list[list[int]]]]
 
 
 def _keys(signs: np.ndarray, samples: np.ndarray) -> np.ndarray:
@@ -166,7 +171,9 @@ def _edited(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
 
 def build_index(items: list[tuple[int | None, str]], rate: float = RATE, recall: float = RECALL, seed: int = 7) -> Index:
     """The items of one block with their 10-grams and the samples of their walks."""
-    kept = [(i, t) for i, t in ((i, normal_text(t)) for i, t in items) if len(t) >= MIN_ITEM]
+    plain = [(i, normal_text(t)) for i, t in items]
+    kept = [(i, t) for i, t in plain if len(t) >= MIN_ITEM]
+    brief = [(i, t) for i, t in ((i, t.strip(b" ")) for i, t in plain if len(t) < MIN_ITEM) if t]
     ids, texts = [i for i, _ in kept], [t for _, t in kept]
     codes = np.concatenate([*(gram_codes(np.frombuffer(t, np.uint8)) for t in texts), np.zeros(0, np.uint64)])
     bits = max(16, int(64 * max(1, len(codes)) - 1).bit_length())
@@ -217,7 +224,38 @@ def build_index(items: list[tuple[int | None, str]], rate: float = RATE, recall:
             owners.append(order)
         classes.append(SizeClass(inside, max(1, need), longest + edits_allowed(longest, rate), moves, places, samples, known, owners))
     own = [np.unique(gram_codes(np.frombuffer(t, np.uint8))) for t in texts]
-    return Index(ids, texts, grams, 64 - bits, classes, rate, own)
+    short = short_items([t for _, t in brief], len(texts))
+    return Index(ids + [i for i, _ in brief], texts + [t for _, t in brief], grams, 64 - bits, classes, rate, own, short)
+
+
+def short_items(texts: list[bytes], first: int) -> dict[int, tuple[np.ndarray, list[list[int]]]]:
+    """Items by their number of words, as sorted hashes with the items of each; items are numbered from ``first`` on."""
+    owners: dict[int, dict[int, list[int]]] = {}
+    for k, text in enumerate(texts):
+        hashes, _ = tb.word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        owners.setdefault(len(hashes), {}).setdefault(int(tb.shingle_hashes(hashes, len(hashes))[0]), []).append(first + k)
+    return {n: (np.array(sorted(of), np.uint64), [of[h] for h in sorted(of)]) for n, of in owners.items()}
+
+
+def short_passages(index: Index, plain: np.ndarray, begins: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The first exact place of each short item in each text, as ``passages`` gives them."""
+    found: list[tuple[int, int, int, int, int]] = []
+    if not index.short:
+        return found
+    starts, ends, _ = tb.words(plain, begins)
+    hashes, text_of = tb.span_hashes(plain, starts), np.searchsorted(begins, starts, side="right") - 1
+    for n, (known, owners) in index.short.items():
+        if len(hashes) < n:
+            continue
+        keys = tb.shingle_hashes(hashes, n)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = np.flatnonzero((known[at] == keys) & (text_of[: len(keys)] == text_of[n - 1 :]))
+        _, one = np.unique(np.stack([text_of[hit], at[hit]]), axis=1, return_index=True)
+        for k in hit[one].tolist():
+            a, b = int(starts[k]), int(ends[k + n - 1])
+            value = plain[a:b].tobytes()
+            found += [(int(text_of[k]), item, 0, int(places[a]), int(places[b - 1]) + 1) for item in owners[int(at[k])] if index.texts[item] == value]
+    return found
 
 
 def meetings(found: SizeClass, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -270,11 +308,12 @@ def best_passage(item: bytes, text: bytes) -> tuple[int, int, int]:
 
 def passages(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """Text, item, distance, and first and last byte (end exclusive) in ``data`` of each passage found; best one per item."""
-    if not index.classes or len(data) < GRAM:
+    if not len(data) or not index.classes and not index.short:
         return []
     plain, begins, places = normalized(data, offsets)
-    if len(plain) < GRAM:
-        return []
+    found = short_passages(index, plain, begins, places)
+    if not index.classes or len(plain) < GRAM:
+        return found
     codes = gram_codes(plain)
     held = index.grams[(tb.mix(codes) >> np.uint64(index.shift)).astype(np.int64)]
     before = np.append(0, np.cumsum(held, dtype=np.int32))
@@ -296,7 +335,7 @@ def passages(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
                 size = len(index.texts[item])
                 edits = edits_allowed(size, index.rate)
                 regions.setdefault((text, item), []).append((max(int(begins[text]), s - edits), min(int(stops[k]), s + size + 2 * edits)))
-    found, raw = [], plain.tobytes() if regions else b""
+    raw = plain.tobytes() if regions else b""
     for (text, item), spans in regions.items():
         pattern, best = index.texts[item], None
         edits = edits_allowed(len(pattern), index.rate)

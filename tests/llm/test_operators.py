@@ -301,6 +301,23 @@ def test_decontamination(docs_of, spark):
     assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_short_items_are_matched_exactly(docs_of, spark):
+    items = [(1, "What is the capital of France?"), (2, "what is THE capital of france"), (3, "\"Tiny!\""), (4, "é 7"), (5, "?!"), (6, None), (7, "x" * 40)]
+    texts = [
+        (10, "So: what is  the capital\nof France, then?"), (11, "what is the capital of Francess"), (12, "tiny"), (13, "tinyx xtiny"), (14, "É é 7"),
+        (15, "tiny tiny"), (16, "what is the capital"), (17, "of france"), (18, None), (19, "?!"), (None, "ask: What is the capital of France"),
+    ]
+    benchmark, docs = spark.createDataFrame(items, "item_id long, text string"), docs_of(*texts).coalesce(1)
+    for table in (benchmark, benchmark.where("item_id <> 7")):
+        got = decontamination.contaminated(docs, table).collect()
+        want = [(10, 1), (10, 2), (12, 3), (14, 4), (15, 3), (None, 1), (None, 2)]
+        assert collections.Counter((r["doc_id"], r["item_id"]) for r in got) == collections.Counter(want)
+        assert {(r["distance"], dict(texts)[r["doc_id"]][r["start"] : r["end"]]) for r in got} == {
+            (0, "what is  the capital\nof France"), (0, "tiny"), (0, "é 7"), (0, "What is the capital of France"),
+        }
+        assert {r["doc_id"] for r in decontamination.without_contaminated(docs, table).collect()} == {11, 13, 16, 17, 18, 19}
+
+
 def edit_distance(a, b):
     row = [0] * (len(b) + 1)
     for i in range(1, len(a) + 1):
