@@ -32,33 +32,32 @@ RATING_COUNT = r"([\d,]+) total ratings"
 ORIGIN = r"Ships from ([\w,\s]+)."
 
 
-NESTED = 6  # levels of equal tags that an element may hold
-
-
 def found(text: str | Column, pattern: str) -> Column:
     """The first capture of a pattern, null without a match."""
     value = F.regexp_extract(S.column(text), pattern, 1)
     return F.when(value != "", value)
 
 
-def balanced(tag: str, depth: int = NESTED) -> str:
-    """A pattern of text in which every ``tag`` that opens also closes."""
-    plain = rf"[^<]++|<(?!/?{tag}\b)"
-    inner = rf"(?:{plain})*+"
-    for _ in range(depth):
-        inner = rf"(?:{plain}|<{tag}\b[^>]*>{inner}</{tag}>)*+"
-    return inner
-
-
 def element_text(html: str | Column, tag: str, mark: str) -> Column:
     """Text inside the first element of a tag and class, tags out; null without the element.
 
-    The element ends at its own closing tag. Where tags do not balance, it ends at the first closing tag.
+    The element ends at its own closing tag, found by counting equal tags in order, at any depth. Where tags do
+    not balance, it ends at the first closing tag.
     """
-    opening = rf'(?s)(<{tag}[^>]*class="{mark}"[^>]*>'
-    whole = F.regexp_extract(S.column(html), rf"{opening}{balanced(tag)})</{tag}>", 1)
-    inner = F.when(whole != "", whole).otherwise(F.regexp_extract(S.column(html), rf"{opening}.*?)</{tag}>", 1))
-    return F.when(inner != "", F.trim(F.regexp_replace(inner, r"<[^>]*>", "")))
+    rest = F.regexp_extract(S.column(html), rf'(?s)<{tag}[^>]*class="{mark}"[^>]*>(.*)', 1)
+    # every piece but the first begins with an opening or closing tag; the element is the pieces before depth 0
+    pieces = F.split(rest, rf"(?=</?{tag}\b)")
+    begin = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken"))
+
+    def step(at: Column, piece: Column) -> Column:
+        turn = F.when(piece.rlike(rf"^<{tag}\b"), 1).when(piece.rlike(rf"^</{tag}\b"), -1).otherwise(0)
+        depth = F.when(at["depth"] > 0, at["depth"] + turn).otherwise(0)
+        return F.struct(depth.alias("depth"), (at["taken"] + F.when(depth > 0, F.length(piece)).otherwise(0)).alias("taken"))
+
+    taken = F.aggregate(pieces, begin, step, lambda at: F.when(at["depth"] == 0, at["taken"]))
+    whole = F.when(taken.isNotNull(), F.substring(rest, F.lit(1), taken))
+    first = F.when(rest.contains(f"</{tag}>"), F.substring_index(rest, f"</{tag}>", 1))
+    return F.trim(F.regexp_replace(F.coalesce(whole, first), r"<[^>]*>", ""))
 
 
 def amount(text: Column) -> Column:

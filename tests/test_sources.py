@@ -149,6 +149,18 @@ def test_insert_reads_only_the_days_of_the_batch(spark):
     assert "PartitionFilters: [isnotnull(dateacc" in fresh._jdf.queryExecution().toString()
 
 
+def test_elements_end_at_their_own_closing_tag_at_any_depth(spark):
+    from pricepanel.sources.pages import element_text
+
+    def block(depth, end="</div>"):
+        return '<p>x</p><div class="comments">' + "<div a='1'>in " * depth + "</div>out " * depth + f"last{end}<div>other</div>"
+
+    html = [block(0), block(3), block(7), block(40), "<div>none</div>", '<div class="comments"></div>', '<div class="comments"><div>cut</div>', None]
+    got = rows(spark.createDataFrame(list(enumerate(html)), "id int, html string").select("id", element_text("html", "div", "comments").alias("text")), "id")
+    want = [("in " * d + "out " * d + "last").strip() for d in (0, 3, 7, 40)]
+    assert [r["text"] for r in got] == [*want, None, "", "cut", None]
+
+
 def test_stage_writes_under_the_shared_folder(spark):
     df = stage(spark.range(3), "numbers")
     assert df.inputFiles()[0].removeprefix("file://").startswith(shared_folder(spark))
