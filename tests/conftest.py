@@ -1,10 +1,12 @@
-import datetime as dt
 import os
 import sys
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from helpers import day  # noqa: E402
 
 from pricepanel.session import build_session  # noqa: E402
 
@@ -17,16 +19,6 @@ def spark():
     session.stop()
 
 
-def day(n: int) -> dt.date:
-    return dt.date(2012, 1, 1) + dt.timedelta(days=n)
-
-
-def rows(df, *order):
-    """Rows as dicts, sorted by the given columns."""
-    found = [r.asDict() for r in df.collect()]
-    return sorted(found, key=lambda r: tuple((r[c] is not None, r[c]) for c in order)) if order else found
-
-
 @pytest.fixture(scope="session")
 def make_panel(spark):
     """Build a panel from (seller, isbn, day number, price, rank) tuples."""

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import day, rows
+from helpers import day, rows
 from pricepanel.operators import changes as C
 from pricepanel.operators import panel as P
 from pricepanel.plans.clean import change_events

@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day, rows
+from helpers import day, rows
 from pricepanel.functions import scalars as S
 from pricepanel import schemas
 from pricepanel.operators import cleaning as K

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from pricepanel.operators import models as M
 from pricepanel.operators import stats
 from pricepanel.operators.apply import group_apply

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import day, rows
+from helpers import day, rows
 from pricepanel.operators import cleaning as K
 from pricepanel.operators import panel as P
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from pricepanel.operators import cleaning as K
 from pricepanel.operators import panel as P
 from pricepanel.operators import products as R

@@ -3,7 +3,7 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from conftest import day, rows
+from helpers import day, rows
 from pricepanel import schemas
 from pricepanel.session import scratch_path, shared_folder, stage
 from pricepanel.sources import pages, sinks, tables

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from pricepanel.operators.cleaning import first_by
 from pricepanel.session import scratch_path
 from pricepanel.sources import sinks

@@ -1,6 +1,6 @@
 """Description cleaning, phrases and repeats."""
 
-from conftest import rows
+from helpers import rows
 from pricepanel.functions import text as X
 from pricepanel.operators import text as T
 

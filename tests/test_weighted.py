@@ -5,7 +5,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from conftest import rows
+from helpers import rows
 from pricepanel.functions.ordered import total_before, with_position
 from pricepanel.functions.quantiles import exact_quantiles
 from pricepanel.functions.weighted import weighted_mean, weighted_sd, with_centres
