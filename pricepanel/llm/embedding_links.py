@@ -292,8 +292,8 @@ def op11_embedding_links(spark, sf_dir: str) -> DataFrame:
 OP11_SQL = """
 WITH RECURSIVE sound AS (
   SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x <> 0)) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 links AS (
   SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
   WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.93),
@@ -305,6 +305,6 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT F
 FROM sound JOIN named USING (r) LEFT JOIN counted USING (r)
 UNION ALL
 SELECT vec_id, 0, vec_id, true FROM embeddings
-WHERE label IS NULL OR embedding IS NULL OR len(list_filter(embedding, x -> x <> 0)) = 0
-   OR len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) > 0
+WHERE label IS NULL OR embedding IS NULL OR len(list_filter(embedding, lambda x: x <> 0)) = 0
+   OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0
 """
