@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricepanel.session import stage
@@ -34,8 +34,9 @@ PROBES = 16
 TOLERANCE = 1e-6
 MAX_ROUNDS = 60
 MAX_STEPS = 400
-#: A ratio of residual to factor variance above this counts as no variance.
-NO_VARIANCE = 1e7
+#: A ratio of residual to factor variance of this many times the mean rows of a level counts as no variance:
+#: effects are then a thousandth of the levels' means.
+NO_VARIANCE = 1000
 _TASK_BITS = 33  # monotonically_increasing_id: the task number stands above these bits
 
 
@@ -50,10 +51,6 @@ class MixedFit:
     rounds: list[dict] = field(default_factory=list)
 
 
-def _array(columns: list[Column]) -> Column:
-    return F.array(*columns)
-
-
 def _numbered(df: DataFrame, label: str) -> DataFrame:
     """A written table with ``index``: the numbers from 0 on without gaps."""
     rows = stage(df.withColumn("__id", F.monotonically_increasing_id()), label)
@@ -73,9 +70,9 @@ def _level_table(cells: DataFrame, factor: str, columns: int, probes: int, offse
     rows = _numbered(sums, "levels")
     own = 1 - 2 * F.xxhash64(F.lit(factor), F.col("level")).bitwiseAND(F.lit(1))
     place = F.col("index") + offset
-    sign = lambda h: (own * (1 - 2 * (F.bit_count(place.bitwiseAND(F.lit(h))) % 2))).cast("double")
-    rhs = _array([*[F.col(f"__s{k}") for k in range(columns)], *[sign(h) for h in range(probes)]])
-    return stage(rows.select("level", "n", rhs.alias("rhs")), "levels")
+    signs = ", ".join(f"CAST(own * (1 - 2 * (bit_count(place & {h}L) % 2)) AS DOUBLE)" for h in range(probes))
+    rhs = F.expr(f"array({', '.join(f'__s{k}' for k in range(columns))}, {signs})")
+    return stage(rows.withColumns({"own": own, "place": place}).select("level", "n", rhs.alias("rhs")), "levels")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -104,6 +101,24 @@ def _with_vectors(df: DataFrame, names: list[str], make) -> DataFrame:
     return df.mapInArrow(run, f"level {kind}, n double, " + ", ".join(f"{c} array<double>" for c in names))
 
 
+def _summed(df: DataFrame, make) -> np.ndarray:
+    """Sums over all rows of the columns of a matrix that ``make`` gives for a batch; the driver gets one row per column."""
+    arrays = [c for c in df.columns if c not in ("level", "n")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                given = {c: _matrix(batch.column(c)) for c in arrays} | {"n": batch.column("n").to_numpy()[:, None]}
+                part = make(given)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], ["k", "value"])
+
+    sums = df.mapInArrow(run, "k long, value double").groupBy("k").agg(F.sum("value").alias("value"))
+    return np.array([r["value"] for r in sorted(sums.collect())])
+
+
 class _Equations:
     """The equations of one model: ``small`` is solved for, ``large`` is absorbed."""
 
@@ -119,8 +134,8 @@ class _Equations:
         joined = self.cells.select("n", source, F.col(target).alias("__to")).join(
             vectors.select(F.col("level").alias(source), "v"), source
         )
-        sums = [F.sum(F.col("n") * F.col("v")[k]).alias(f"__s{k}") for k in range(self.width)]
-        return joined.groupBy(F.col("__to").alias("level")).agg(*sums).select("level", _array([F.col(f"__s{k}") for k in range(self.width)]).alias("sums"))
+        sums = ", ".join(f"sum(n * v[{k}])" for k in range(self.width))
+        return joined.groupBy(F.col("__to").alias("level")).agg(F.expr(f"array({sums})").alias("sums"))
 
     def absorbed(self, x: DataFrame, ratio: float, rhs: bool) -> DataFrame:
         """The large factor's solution for given values ``v`` of the small one (without right sides: the sums over its levels)."""
@@ -140,17 +155,17 @@ class _Equations:
             return [g["v"], r, r / (g["n"] + own)]
 
         state = stage(_with_vectors(guess.join(above, "level"), ["x", "r", "v"], begin), "solver")
-        dot = lambda a, b: [F.sum(F.col(a)[k] * F.col(b)[k] / (F.col("n") + F.col("__l"))) for k in range(self.width)]
-        scale = self.small.withColumn("__l", F.lit(own)).agg(_array(dot("rhs", "rhs"))).first()[0]
-        floor = tolerance**2 * np.maximum(np.array(scale, float), 1e-300)
+        scale = _summed(self.small, lambda g: (g["rhs"] ** 2 / (g["n"] + own)).sum(axis=0))
+        floor = tolerance**2 * np.maximum(scale, 1e-300)
+        dots = lambda g: np.concatenate([
+            (g["v"] * g["q"]).sum(axis=0), *(((g[a] * g[b]) / (g["n"] + own)).sum(axis=0) for a, b in ("rr", "rq", "qq"))
+        ])
         steps = 0
         while True:
             applied = self._crossed(self.absorbed(state.select("level", "v"), other, rhs=False), *reversed(self.names))
             # S p = (n + l) p - sums
             full = stage(_with_vectors(state.join(applied, "level"), ["x", "r", "v", "q"], lambda g: [g["x"], g["r"], g["v"], (g["n"] + own) * g["v"] - g["sums"]]), "solver")
-            plain = [F.sum(F.col("v")[k] * F.col("q")[k]) for k in range(self.width)]
-            got = full.withColumn("__l", F.lit(own)).agg(*[_array(part) for part in (plain, dot("r", "r"), dot("r", "q"), dot("q", "q"))]).first()
-            pq, rr, rq, qq = (np.array(part, float) for part in got)
+            pq, rr, rq, qq = _summed(full, dots).reshape(4, self.width)
             live = (rr > floor) & (pq > 0)
             alpha = np.where(live, rr / np.where(live, pq, 1.0), 0.0)
             after = np.maximum(rr - 2 * alpha * rq + alpha**2 * qq, 0.0)
@@ -172,11 +187,14 @@ class _Equations:
     def products(self, solved: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         """Of one factor: right sides times solutions, solutions times solutions, and the probes' trace."""
         k = self.columns
-        one = [F.sum(F.col("rhs")[i] * F.col("v")[j]) for i in range(k) for j in range(k)]
-        two = [F.sum(F.col("v")[i] * F.col("v")[j]) for i in range(k) for j in range(k)]
-        trace = sum((F.col("rhs")[k + h] * F.col("v")[k + h] for h in range(self.probes)), F.lit(0.0))
-        row = solved.agg(_array(one).alias("one"), _array(two).alias("two"), F.sum(trace).alias("trace")).first()
-        return np.reshape(row["one"], (k, k)), np.reshape(row["two"], (k, k)), row["trace"] / self.probes
+
+        def part(g: dict) -> np.ndarray:
+            rhs, v = g["rhs"], g["v"]
+            trace = (rhs[:, k:] * v[:, k:]).sum(keepdims=True)
+            return np.concatenate([x.ravel() for x in (rhs[:, :k].T @ v[:, :k], v[:, :k].T @ v[:, :k], trace)])
+
+        found = _summed(solved, part)
+        return found[: k * k].reshape(k, k), found[k * k : -1].reshape(k, k), found[-1] / self.probes
 
 
 def _mixed_step(points: list[np.ndarray], images: list[np.ndarray]) -> np.ndarray:
@@ -186,7 +204,7 @@ def _mixed_step(points: list[np.ndarray], images: list[np.ndarray]) -> np.ndarra
         turns = np.stack([g - gaps[-1] for g in gaps[:-1]], axis=1)
         weights, *_ = np.linalg.lstsq(turns, -gaps[-1], rcond=1e-8)
         moved = images[-1] + np.stack([b - images[-1] for b in images[:-1]], axis=1) @ weights
-        if np.abs(moved - images[-1]).max() <= 2:
+        if np.abs(moved - images[-1]).max() <= 4:
             return moved
     return images[-1]
 
@@ -204,16 +222,17 @@ def crossed_effects(
     rows = stage(df.select(F.col(first).alias("__first"), F.col(second).alias("__second"), *numbers).dropna(), "rows")
     design = [F.col(y), F.lit(1.0), *[F.col(c) for c in terms]]
     k = len(design)
-    moments = rows.agg(_array([F.sum(a * b) for a in design for b in design]), F.count(F.lit(1))).first()
+    moments = rows.agg(F.array(*[F.sum(a * b) for a in design for b in design]), F.count(F.lit(1))).first()
     if not moments[1]:
         raise ValueError("no complete rows")
     gram, n = np.reshape(moments[0], (k, k)), moments[1]
     cells = rows.groupBy("__first", "__second").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"__s{i}") for i, c in enumerate(design)])
-    cells = stage(cells.select("__first", "__second", "n", _array([F.col(f"__s{i}") for i in range(k)]).alias("sums")), "cells")
+    cells = stage(cells.select("__first", "__second", "n", F.array(*[F.col(f"__s{i}") for i in range(k)]).alias("sums")), "cells")
     counts = cells.agg(F.count_distinct("__first"), F.count_distinct("__second")).first()
     small, large = ("__first", "__second") if counts[0] <= counts[1] else ("__second", "__first")
     equations = _Equations(cells, small, large, k, probes)
     levels = np.array(equations.sizes, float)
+    most = NO_VARIANCE * n / levels
 
     rank = int(np.linalg.matrix_rank(gram[1:, 1:]))
     logs, points, images, rounds, guess = np.log(np.maximum(1.0, 0.2 * n / levels)), [], [], [], None
@@ -231,13 +250,13 @@ def crossed_effects(
         squares = np.array([contrast @ p[1] @ contrast for p in parts])
         traces = np.array([p[2] + np.sum(inverse * p[1][1:, 1:]) for p in parts])
         freedom = np.maximum(levels - np.exp(logs) * traces, 1e-9)
-        image = np.log(np.minimum(residual * freedom / np.maximum(squares, 1e-300), NO_VARIANCE))
+        image = np.log(np.minimum(residual * freedom / np.maximum(squares, 1e-300), most))
         moved = float(np.abs(image - logs).max())
         rounds.append({"ratios": ratios, "steps": steps, "moved": moved})
         if moved < tolerance or len(rounds) >= MAX_ROUNDS:
             break
         points, images = [*points, logs][-3:], [*images, image][-3:]
-        logs = np.clip(_mixed_step(points, images), np.log(1e-9), np.log(NO_VARIANCE))
+        logs = np.clip(_mixed_step(points, images), np.log(1e-9), np.log(most))
 
     names = {"__first": first, "__second": second}
     weights = contrast.tolist()
@@ -249,6 +268,6 @@ def crossed_effects(
     both = {small: effects(one, small), large: effects(two, large)}
     errors = np.sqrt(np.maximum(residual * np.diag(inverse), 0))
     fixed = [(t, float(b), float(e), float(b / e) if e > 0 else None) for t, b, e in zip(["(Intercept)", *terms], beta, errors)]
-    variance = dict(zip((small, large), (0.0 if r >= NO_VARIANCE * 0.99 else residual / r for r in np.exp(logs))))
+    variance = dict(zip((small, large), (0.0 if r >= 0.99 * top else residual / r for r, top in zip(np.exp(logs), most))))
     components = {first: float(variance["__first"]), second: float(variance["__second"]), "residual": float(residual)}
     return MixedFit(both["__first"].unionByName(both["__second"]), fixed, components, rounds)

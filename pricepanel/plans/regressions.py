@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricepanel.functions import scalars as S
+from pricepanel.operators import mixed
 from pricepanel.operators import models as M
 from pricepanel.operators.panel import FIRST_PAGE_SIZE, pair_days
 from pricepanel.schemas import PANEL, PanelColumns
@@ -96,6 +97,12 @@ def change_gap_model(changes: DataFrame, min_ratings: int = MIN_RATINGS, cols: P
     return M.ols(sample, "log_days_bet_change", terms)
 
 
+def change_gap_effects(changes: DataFrame, probes: int = mixed.PROBES, cols: PanelColumns = PANEL) -> mixed.MixedFit:
+    """Log days between changes on page, fulfilment, rank and ratings, with random intercepts of seller and product."""
+    terms = ["first_change", "first_page", "fba", "log_rank_prev", "log_numrating"]
+    return mixed.crossed_effects(change_sample(changes, cols=cols), "log_days_bet_change", terms, cols.seller, cols.product, probes)
+
+
 def gap_size_model(profile: DataFrame) -> DataFrame:
     """Log mean gap between a seller's changes on its target rank, inventory share and size."""
     sample = profile.withColumns(

@@ -109,6 +109,12 @@ def lpm_change(f):
     return G.linear_change_model(_indicators(f), stage(X.seller_text_profile(used), "text"))
 
 
+@query("factor level n:i effect:f")
+def crossed_effects(f):
+    """Seller and product effects of the mixed model of the gaps between changes, fitted together."""
+    return G.change_gap_effects(stage(clean.change_events(f.panel), "changes")).effects
+
+
 @query("factor level effect:f position:i normal_quantile:f")
 def qq_effects(f):
     """Sorted seller effects against normal quantiles, then the product effects."""

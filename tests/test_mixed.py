@@ -56,7 +56,7 @@ def test_fit_equals_a_dense_solve(spark):
 
 def test_probed_traces_come_near_with_many_levels(spark):
     data = panel(2, 90, 60, 700)
-    fit = mixed.crossed_effects(spark.createDataFrame(data, KIND), "y", ["x1", "x2"], "seller", "isbn", probes=16, tolerance=1e-3)
+    fit = mixed.crossed_effects(spark.createDataFrame(data, KIND), "y", ["x1", "x2"], "seller", "isbn", probes=16, tolerance=0.02)
     variance, residual, _, _, effects = dense(data)
     assert np.allclose([fit.components["seller"], fit.components["isbn"], fit.components["residual"]], [*variance, residual], rtol=0.05)
     got = {(0 if r["factor"] == "seller" else 1, r["level"]): r["effect"] for r in rows(fit.effects)}
@@ -67,9 +67,9 @@ def test_a_factor_without_variance_has_no_effects(spark):
     rng = np.random.default_rng(3)
     data = [(f"s{k % 6}", k // 6 % 5, float(10 * (k % 6) + e), 0.0, 0.0) for k, e in enumerate(np.tile([1.0, -1.0], 90) * rng.permuted(np.ones(180)))]
     data += [(None, 1, 5.0, 0.0, 0.0), ("s1", 2, None, 0.0, 0.0)]
-    fit = mixed.crossed_effects(spark.createDataFrame(data, KIND), "y", [], "seller", "isbn", probes=16, tolerance=1e-3)
-    assert fit.components["isbn"] < 1e-5 * fit.components["seller"]
-    assert all(abs(r["effect"]) < 1e-3 for r in rows(fit.effects) if r["factor"] == "isbn")
+    fit = mixed.crossed_effects(spark.createDataFrame(data, KIND), "y", [], "seller", "isbn", probes=16, tolerance=0.3)
+    assert fit.components["isbn"] < 1e-3 * fit.components["residual"] and fit.components["seller"] > 1
+    assert all(abs(r["effect"]) < 1e-2 for r in rows(fit.effects) if r["factor"] == "isbn")
     assert fit.effects.count() == 11
 
 
