@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pricepanel import schemas
 from pricepanel.functions import text as TX
+from pricepanel.functions.quantiles import exact_quantiles
 from pricepanel.operators import text as X
 from pricepanel.registry.core import query
 from pricepanel.registry.fixture import ANCHOR
@@ -282,21 +283,56 @@ def stream_price_changes(f):
     return found.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-@query("isbn week_start:d quotes:i kept:i late:i")
-def stream_late_drop(f):
-    """The month arrives backwards, a third per batch; the weeks closed by then lose their late quotes.
+def _arrivals(f, path, pieces):
+    """Write each piece to a folder of its own, as many files as Spark makes of it, and yield after each."""
+    for k, piece in enumerate(pieces):
+        piece.write.parquet(f"{path}/{k}")
+        yield jobs.file_stream(f.spark, f"{path}/*", piece.schema)
+
+
+DELAY = 86400
+
 
-    The engine drops rows by the watermark of the batch before, so the newest
-    third closes weeks for the oldest and not yet for the middle one.
-    """
-    path = scratch_path(f.spark, "arrivals")
+@query(
+    "seller:i isbn ts event_id:i price2:f price2_prev:f price2_change:f",
+    """SELECT seller, isbn, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_id, price2, before AS price2_prev, price2 - before AS price2_change
+       FROM (SELECT *, lag(price2) OVER w AS before, lag(ts) OVER w AS seen FROM ticks WINDOW w AS (PARTITION BY seller, isbn ORDER BY ts, event_id))
+       WHERE price2 <> before AND ts <= (SELECT max(ts) - INTERVAL 1 DAY FROM ticks) AND ts - seen <= INTERVAL 14 DAY""",
+)
+def stream_ordered_changes(f):
+    """Changes in order of event time, though every quote arrives up to a day late and the arrivals come in three runs."""
+    path, source, checkpoint = scratch_path(f.spark, "changes"), scratch_path(f.spark, "arrivals"), _checkpoint(f, "changes")
+    seconds = F.unix_micros(instant("ts")) / 1e6
+    late = stage(f.ticks.withColumn("arrival", seconds + F.pmod(F.xxhash64("event_id"), F.lit(DELAY))), "ticks")
+    low, high = (r["quantile"] for r in exact_quantiles(late, ["arrival"], [1 / 3, 2 / 3]).orderBy("prob").collect())
+    third = F.when(F.col("arrival") < low, 0).when(F.col("arrival") < high, 1).otherwise(2)
+    for stream in _arrivals(f, source, [late.filter(third == k).drop("arrival") for k in range(3)]):
+        changes = jobs.ordered_price_changes(stream, ["seller", "isbn"], "ts", ["event_id"], "price2", f"{DELAY} seconds", 14 * DELAY)
+        jobs.append_files(changes, path, checkpoint).awaitTermination()
+    return f.spark.read.schema(changes.schema).parquet(path).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query(
+    "isbn week_start:d quotes:i kept:i late:i",
+    """SELECT isbn, CAST(week AS DATE) AS week_start, count(*) AS quotes, count(*) FILTER (WHERE CAST(ts AS DATE) >= cut) AS kept,
+              count(*) FILTER (WHERE CAST(ts AS DATE) < cut) AS late
+       FROM (SELECT *, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS week FROM ticks),
+            (SELECT CAST(make_timestamp(CAST(quantile_cont(CAST(epoch_us(ts) AS DOUBLE), 2 / 3.0) AS BIGINT)) AS DATE) AS cut, max(ts) AS last FROM ticks)
+       WHERE week + INTERVAL 7 DAY <= last - INTERVAL 1 DAY GROUP BY isbn, week""",
+)
+def stream_late_drop(f):
+    """The month arrives backwards, a third of the quotes in each run; the weeks that the newest third closes lose the rest."""
+    source, path, checkpoint = scratch_path(f.spark, "arrivals"), scratch_path(f.spark, "late"), _checkpoint(f, "late")
     ticks = f.ticks
+    micros = ticks.select(F.unix_micros(instant("ts")).cast("double").alias("us"))
+    days = [F.to_date(wall_clock(F.timestamp_micros(F.lit(int(r["quantile"])))))
+            for r in exact_quantiles(micros, ["us"], [1 / 3, 2 / 3]).orderBy("prob").collect()]
     date = F.to_date("ts")
-    newest, middle = date >= F.to_date(F.lit("2024-01-21")), date >= F.to_date(F.lit("2024-01-11"))
-    for part in (ticks.filter(newest), ticks.filter(middle & ~newest), ticks.filter(~middle)):
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.file_stream(f.spark, path, ticks.schema, files_per_batch=1)
-    kept = weekly_counts(f, stream, "late")
-    week = F.window(instant("ts"), "7 days").getField("start")
-    every = ticks.withColumn("week_start", F.to_date(wall_clock(week)))
-    return jobs.late_counts(every, kept, ["isbn", "week_start"])
+    for stream in _arrivals(f, source, [ticks.filter(date >= days[1]), ticks.filter((date >= days[0]) & (date < days[1])), ticks.filter(date < days[0])]):
+        weekly = jobs.weekly_mean(stream.withColumn("at", instant("ts")), ["isbn"], "price2", "at", "1 day")
+        jobs.append_files(weekly, path, checkpoint).awaitTermination()
+    kept = f.spark.read.schema(weekly.schema).parquet(path).withColumn("week_start", F.to_date(wall_clock("week_start")))
+    week = F.window(instant("ts"), "7 days")
+    last = ticks.agg(F.max(instant("ts"))).scalar()
+    closed = ticks.withColumn("week", week).filter(F.col("week.end") <= last - F.expr("INTERVAL 1 DAY"))
+    return jobs.late_counts(closed.withColumn("week_start", F.to_date(wall_clock("week.start"))), kept, ["isbn", "week_start"])

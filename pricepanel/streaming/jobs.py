@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pricepanel.sources.sinks import insert_ignore
+from pricepanel.streaming import instant
 
 FILES_PER_BATCH = 100  # fixed value: the commit interval of collection
 
@@ -101,6 +102,107 @@ def price_changes(stream: DataFrame, keys: list[str], order: list[str], price: s
     )
 
 
+class _OrderedChanges(StatefulProcessor):
+    """Rows of a pair wait in its buffer until the watermark has passed them, then they are compared in order.
+
+    State of a pair: the waiting rows, its last row that was compared, and the time of its one timer. The timer
+    stands at the first waiting row or, with none, where the pair counts as idle, which ends its state.
+    """
+
+    def __init__(self, keys: list[str], tie: list[T.StructField], output: T.StructType, when: str, price: str, idle_us: int):
+        self.keys, self.tie, self.output, self.when, self.price, self.idle = keys, tie, output, when, price, idle_us
+        self.row = T.StructType([T.StructField("us", T.LongType()), *tie, T.StructField("price", T.DoubleType())])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType()), T.StructField("price", T.DoubleType())]))
+        self.timer = handle.getValueState("timer", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def _wake_at(self, us: int | None) -> None:
+        held = self.timer.get() if self.timer.exists() else None
+        ms = None if us is None else -(-us // 1000)
+        if held is not None and held[0] != ms:
+            self.handle.deleteTimer(held[0])
+        if ms is None:
+            self.timer.clear()
+        elif held is None or held[0] != ms:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        # "us" leads, so the least row is the earliest one
+        fresh = [tuple(r) for part in rows for r in part[[f.name for f in self.row]].itertuples(index=False)]
+        self.waiting.appendList([(int(us), *tie, None if pd.isna(price) else float(price)) for us, *tie, price in fresh])
+        first = min(int(r[0]) for r in fresh)
+        held = self.timer.get() if self.timer.exists() else None
+        # a timer at the end of an idle time gives way to an earlier row; a later row waits for the timer
+        if held is None or first < held[0] * 1000:
+            self._wake_at(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.timer.clear()
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((tuple(r) for r in waiting if r[0] <= passed), key=lambda r: tuple((x is None, x) for x in r[:-1]))
+        later = [tuple(r) for r in waiting if r[0] > passed]
+        before = self.last.get() if self.last.exists() else None
+        found = []
+        for us, *tie, price in due:
+            if before is not None and us - before[0] > self.idle:
+                before = None
+            if price is None:
+                continue
+            if before is not None and price != before[1]:
+                found.append((*key, us, *tie, price, before[1], price - before[1]))
+            before = (us, price)
+        if later:
+            self.waiting.put(later)
+        elif waiting:
+            self.waiting.clear()
+        if before is not None and not later and before[0] + self.idle < passed:
+            before = None
+        if before is None:
+            self.last.clear()
+        else:
+            self.last.update((before[0], before[1]))
+        self._wake_at(min(r[0] for r in later) if later else None if before is None else before[0] + self.idle + 1000)
+        if found:
+            frame = pd.DataFrame(found, columns=self.output.names)
+            frame[self.when] = pd.to_datetime(frame[self.when], unit="us")
+            yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_price_changes(
+    stream: DataFrame, keys: list[str], when: str, tie: list[str], price: str, delay: str, idle_seconds: int
+) -> DataFrame:
+    """Price changes of each pair in order of event time, for rows that arrive in any order within ``delay``.
+
+    A change comes out once the watermark has passed its row, so every row that could stand before it has
+    arrived; rows behind the watermark are dropped by the engine. Rows without a price are passed
+    over. A pair that is silent for more than ``idle_seconds`` starts anew, and its state ends when the watermark passes
+    that time: state holds the rows of the last ``delay`` and the pairs that are not idle. ``when`` is a zone-less
+    timestamp without nulls. The state store of the session is set to RocksDB, which processors with timers need.
+    """
+    stream.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    kinds = {f.name: f.dataType for f in stream.schema.fields}
+    ties = [T.StructField(c, kinds[c]) for c in tie]
+    output = T.StructType(
+        [T.StructField(c, kinds[c]) for c in keys] + [T.StructField(when, T.TimestampNTZType()), *ties, T.StructField(price, T.DoubleType())]
+        + [T.StructField(f"{price}_prev", T.DoubleType()), T.StructField(f"{price}_change", T.DoubleType())]
+    )
+    rows = stream.select(*keys, instant(when).alias("__at"), *tie, F.col(price).cast("double").alias("price"))
+    timed = rows.withWatermark("__at", delay).withColumn("us", F.unix_micros("__at"))
+    processor = _OrderedChanges(keys, ties, output, when, price, idle_seconds * 1_000_000)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=output, outputMode="Append", timeMode="EventTime")
+
+
 def late_counts(all_rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """Rows per window in the batch, rows the stream kept, and the late rest."""
     whole = all_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("quotes"))

@@ -63,6 +63,60 @@ def test_price_changes_over_batches_equal_the_batch_lag(spark, ticks):
     assert rows(got.select(*sorted(got.columns)), "event_id") == rows(want.select(*sorted(got.columns)), "event_id")
 
 
+def arrivals(spark, path, ticks, delay, parts, only=None):
+    """Write ticks by time of arrival, which lies up to ``delay`` after their own, a folder of several files for each part."""
+    late = ticks.withColumn("arrival", F.unix_micros(instant("ts")) / 1e6 + F.pmod(F.xxhash64("event_id"), F.lit(delay)))
+    lo, hi = late.agg(F.min("arrival"), F.max("arrival")).first()
+    place = F.least(F.floor((F.col("arrival") - lo) / ((hi - lo) / parts)), F.lit(parts - 1))
+    for k in only or range(parts):
+        late.filter(place == k).drop("arrival").coalesce(1).write.mode("append").parquet(path)
+
+
+def ordered(spark, source, ticks, out, checkpoint, idle=10**9):
+    stream = jobs.file_stream(spark, source, ticks.schema, files_per_batch=1)
+    changes = jobs.ordered_price_changes(stream, ["seller", "isbn"], "ts", ["event_id"], "price2", "2 days", idle)
+    query = jobs.append_files(changes, out, checkpoint)
+    query.awaitTermination()
+    return query, spark.read.schema(changes.schema).parquet(out)
+
+
+def lagged(ticks, until=None, idle=10**9):
+    w = Window.partitionBy("seller", "isbn").orderBy("ts", "event_id")
+    gap = F.unix_micros(instant("ts")) - F.lag(F.unix_micros(instant("ts"))).over(w)
+    prev = F.when(gap <= idle * 10**6, F.lag("price2").over(w))
+    want = ticks.withColumns({"price2_prev": prev, "price2_change": F.col("price2") - prev}).filter("price2_change <> 0")
+    return want if until is None else want.filter(F.col("ts") <= F.lit(until).cast("timestamp_ntz"))
+
+
+def same_rows(got, want):
+    return rows(got.select(*sorted(want.columns)), "event_id") == rows(want.select(*sorted(want.columns)), "event_id")
+
+
+def test_changes_of_shuffled_arrivals_equal_the_batch_lag_across_a_restart(spark, ticks):
+    source, out, checkpoint = (scratch_path(spark, label) for label in ("arrivals", "ordered", "c"))
+    parts, last = 5, ticks.agg(F.max("ts")).first()[0]
+    arrivals(spark, source, ticks, 2 * 86400, parts, only=range(3))
+    _, early = ordered(spark, source, ticks, out, checkpoint)
+    seen = early.count()
+    arrivals(spark, source, ticks, 2 * 86400, parts, only=range(3, parts))
+    _, found = ordered(spark, source, ticks, out, checkpoint)
+    assert 0 < seen < found.count()
+    assert same_rows(found, lagged(ticks, last - dt.timedelta(days=2)))
+
+
+def test_idle_pairs_start_anew_and_their_state_ends(spark, ticks):
+    source, out, checkpoint = (scratch_path(spark, label) for label in ("arrivals", "ordered", "c"))
+    more = spark.createDataFrame([(9, "z", dt.datetime(2024, 6, 1), 9000, 1.0), (9, "z", dt.datetime(2024, 6, 1, 1), 9001, None), (9, "z", dt.datetime(2024, 6, 20), 9002, 4.0)], TICK)
+    every = ticks.unionByName(more)
+    arrivals(spark, source, ticks, 2 * 86400, 3)
+    for k in (9000, 9001, 9002):
+        more.filter(F.col("event_id") == k).coalesce(1).write.mode("append").parquet(source)
+    query, found = ordered(spark, source, every, out, checkpoint, idle=86400)
+    assert same_rows(found, lagged(ticks, idle=86400))
+    # only the pair seen last has state: a waiting row and a timer with its index
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
+
+
 def weekly(spark, stream):
     path = scratch_path(spark, "weekly")
     means = jobs.weekly_mean(stream.withColumn("at", instant("ts")), ["isbn"], "price2", "at", "1 day")
