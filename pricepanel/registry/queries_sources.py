@@ -13,7 +13,7 @@ from pricepanel.registry.fixture import ANCHOR
 from pricepanel.registry.queries_panel import PANEL_ROW
 from pricepanel.registry.sql_blocks import dollars, inner
 from pricepanel.session import scratch_path, stage
-from pricepanel.sources import pages, sinks, tables
+from pricepanel.sources import pages, sinks, store, tables
 from pricepanel.streaming import instant, jobs, wall_clock
 
 
@@ -163,7 +163,10 @@ def insert_ignore_desc(f):
     rows = f.descriptions.select(
         (F.col("isbn") % 50).cast("string").alias("isbn"), "seller", "used", F.col("isbn").alias("doc_id"), "shipsfrom"
     ).withColumn("first_batch", F.col("doc_id") % 3 == 0)
-    return _store(f, rows, schemas.UNIQUE_KEYS["listing_desc"], ["doc_id"])
+    keyed = store.KeyedStore(f.spark, scratch_path(f.spark, "store"), rows.schema, tuple(schemas.UNIQUE_KEYS["listing_desc"]))
+    for batch in (rows.filter("first_batch"), rows):
+        keyed.insert(batch, ["doc_id"])
+    return keyed.read()
 
 
 @query(
@@ -228,16 +231,12 @@ def _checkpoint(f, label):
     "SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY dateacc, isbn, seller ORDER BY ts, event_id) = 1",
 )
 def stream_snapshot_ingest(f):
-    path = scratch_path(f.spark, "ingest")
-    schema = f.snapshots.schema
-    sinks.create_store(f.spark, path, schema, ["dateacc"])
+    keyed = store.KeyedStore(f.spark, scratch_path(f.spark, "ingest"), f.snapshots.schema, ("dateacc", "isbn", "seller"))
     stream = events_stream(f).select(
         F.to_date("ts").alias("dateacc"), F.col("event_type").alias("isbn"), F.col("user_id").alias("seller"), "ts", "event_id", "value"
     )
-    jobs.snapshot_ingest(
-        stream, path, schema, ["dateacc", "isbn", "seller"], ["ts", "event_id"], _checkpoint(f, "ingest"), day="dateacc"
-    ).awaitTermination()
-    return f.spark.read.schema(schema).parquet(path)
+    jobs.keyed_ingest(stream, keyed, ["ts", "event_id"], _checkpoint(f, "ingest")).awaitTermination()
+    return keyed.read()
 
 
 def tick_stream(events):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricepanel.operators.cleaning import first_by
+from pricepanel.session import stage
 from pricepanel.sources.tables import NULL_MARK
 
 
@@ -48,12 +49,10 @@ def insert_ignore(batch: DataFrame, path: str, schema: T.StructType, keys: list[
     """Append the rows whose key the table does not hold yet; the first write of a key stays.
 
     Running the same batch again adds nothing, so a retried batch is harmless.
-    The batch is read once.
+    The batch is read once, and its first rows are written before they are compared, so a lost executor costs no
+    second read. Without ``day`` the whole table is read; see `store.KeyedStore` for keys without one.
     """
     stored = batch.sparkSession.read.schema(schema).parquet(path)
-    first = first_by(batch, keys, order).persist()
-    try:
-        fresh = _less_stored(first, stored, keys, day).select(*schema.names)
-        fresh.write.mode("append").partitionBy(*([day] if day else [])).parquet(path)
-    finally:
-        first.unpersist()
+    first = stage(first_by(batch, keys, order), "batch")
+    fresh = _less_stored(first, stored, keys, day).select(*schema.names)
+    fresh.write.mode("append").partitionBy(*([day] if day else [])).parquet(path)

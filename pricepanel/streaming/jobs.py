@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pricepanel.sources.sinks import insert_ignore
+from pricepanel.sources.store import KeyedStore
 from pricepanel.streaming import instant
 
 FILES_PER_BATCH = 100  # fixed value: the commit interval of collection
@@ -43,6 +46,19 @@ def snapshot_ingest(
     return _start(stream.writeStream.foreachBatch(commit), checkpoint, every)
 
 
+def keyed_ingest(stream: DataFrame, store: KeyedStore, order: list, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Insert each micro-batch into a keyed store, once, whatever is retried.
+
+    A batch is named by the checkpoint and its number, so a stream with a checkpoint of its own inserts anew.
+    """
+    source = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+
+    def commit(batch: DataFrame, number: int) -> None:
+        store.insert(batch, order, f"{source}-{number}")
+
+    return _start(stream.writeStream.foreachBatch(commit), checkpoint, every)
+
+
 def deduplicated(stream: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
     """Drop repeats of a key that arrive within the watermark, with state bounded by the delay."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
