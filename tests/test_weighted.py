@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from helpers import rows
 from pricepanel.functions.ordered import total_before, with_position
@@ -65,6 +66,27 @@ def test_heavy_tails_are_cut_again(spark):
     assert [r["quantile"] for r in got] == [np.quantile(values, 0.25), np.quantile(values, 0.5)]
 
 
+def test_every_cell_stays_under_its_bound(spark, monkeypatch):
+    """Many distinct values with far outliers: no window sees more values than allowed."""
+    from pricepanel.functions import quantiles
+
+    n, bound, cuts = 300_000, 2000, []
+    df = spark.range(n).selectExpr("CASE id WHEN 0 THEN 1e300 WHEN 1 THEN -1e300 ELSE exp(pmod(id * 7919, 300000) / 1e4) END AS x", "id % 2 AS k")
+    cut = quantiles._cut
+
+    def watched(counts, targets, cell, parts):
+        counts, targets = cut(counts, targets, cell, parts)
+        cuts.append(counts.groupBy(*cell).count().agg(F.max("count")).first()[0])
+        return counts, targets
+
+    monkeypatch.setattr(quantiles, "_cut", watched)
+    probs = [0.0, 0.1, 0.5, 0.99, 1.0]
+    got = {(r["k"], r["prob"]): r["quantile"] for r in rows(exact_quantiles(df, ["x"], probs, keys=["k"], bins=32, cell_rows=bound))}
+    frame = df.toPandas()
+    assert got == {(k, p): pytest.approx(np.quantile(frame.x[frame.k == k], p), rel=1e-12) for k in (0, 1) for p in probs}
+    assert len(cuts) >= 2 and cuts[-1] <= bound
+
+
 @SLOW
 @given(st.dictionaries(st.tuples(st.sampled_from("xy"), st.integers(0, 60)), st.integers(0, 9), min_size=1), st.integers(1, 20))
 def test_total_before_matches_a_running_sum(spark, cells, slice_size):
