@@ -17,10 +17,20 @@ FLOOR_SHARE = 0.5
 ANCHOR_RATING = 100.0
 
 
+def named_sellers(quotes: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
+    """Quotes with a seller name."""
+    return quotes.filter(F.col(cols.seller) != "")
+
+
 def clean_quotes(raw: DataFrame, cols: PanelColumns = PANEL, drop: tuple[str, ...] = ("condition",)) -> DataFrame:
     """Typed quotes with a landed price; quotes without a seller name go."""
+    return typed_quotes(named_sellers(raw, cols), cols, drop)
+
+
+def typed_quotes(raw: DataFrame, cols: PanelColumns = PANEL, drop: tuple[str, ...] = ("condition",)) -> DataFrame:
+    """Typed quotes with a landed price, also those without a seller name."""
     return (
-        S.as_dates(raw.filter(F.col(cols.seller) != ""), cols.day)
+        S.as_dates(raw, cols.day)
         .withColumns(
             {
                 cols.price: F.col("price") + F.coalesce(F.col("shipping"), F.lit(0.0)),
@@ -90,9 +100,18 @@ def price_ladder(quotes: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     pre-aggregated, so the windows see distinct price points of one product-day
     and not its quotes.
     """
+    return ladder_of_counts(price_counts(quotes, cols), cols)
+
+
+def price_counts(quotes: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
+    """The distinct prices of each product-day and the quotes ``n_at`` each; counts of parts add up to counts of the whole."""
+    return quotes.groupBy(*cols.product_day, cols.price).agg(F.count(F.lit(1)).alias("n_at"))
+
+
+def ladder_of_counts(steps: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
+    """`price_ladder` from the counts, one row per price."""
     group = Window.partitionBy(*cols.product_day)
     upward = group.orderBy(cols.price)
-    steps = quotes.groupBy(*cols.product_day, cols.price).agg(F.count(F.lit(1)).alias("n_at"))
     steps = steps.withColumns(
         {"__upto": F.sum("n_at").over(upward), "__total": F.sum("n_at").over(group)}
     ).withColumn("n_below", F.col("__upto") - F.col("n_at"))
@@ -108,7 +127,11 @@ def price_ladder(quotes: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
 
 def median_prices(quotes: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """The median price of each product-day."""
-    return price_ladder(quotes, cols).groupBy(*cols.product_day).agg(F.min("price_median").alias("price_median"))
+    return medians_of_counts(price_counts(quotes, cols), cols)
+
+
+def medians_of_counts(steps: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
+    return ladder_of_counts(steps, cols).groupBy(*cols.product_day).agg(F.min("price_median").alias("price_median"))
 
 
 def below_median_cut(cols: PanelColumns = PANEL, allowance: float = SHIPPING_ALLOWANCE, factor: float = MEDIAN_FACTOR) -> Column:

@@ -16,20 +16,18 @@ def ranked_quotes(
 ) -> DataFrame:
     """Raw quotes to one ranked quote per seller, product and day, outliers out.
 
-    The ladder gives rank and median in one join. Both outlier rules only cut
-    quotes from some price upward in a product-day, so a rank counted before
-    the cut is also the rank after it. With ``captured_rank`` the rank in the
-    raw layout is kept instead, and of quotes that share one the first stays;
-    otherwise a captured rank is dropped.
+    The order is that of the analysis: the median of a product-day is taken over all its quotes, also repeated
+    ones and those without a seller name; outliers by median and list price go; then quotes without a seller name; then
+    repeats. With ``captured_rank`` the rank in the raw layout is kept, and of quotes that
+    share one the first stays; otherwise a captured rank is dropped and quotes are ranked by price.
     """
     if not captured_rank:
         raw = raw.drop(cols.rank)
-    quotes = K.dedup_seller_day(K.clean_quotes(raw, cols), tie, cols)
-    if captured_rank:
-        cut = K.drop_above_list(K.drop_above_median(quotes, cols=cols).drop("price_median"), list_prices, cols)
-        return K.dedup_rank_day(cut, tie, cols).drop("list_price", *tie_only(tie, cols))
-    ranked = K.snapshot_rank(quotes, cols).filter(K.below_median_cut(cols)).drop("price_median")
-    return K.drop_above_list(ranked, list_prices, cols).drop("list_price", *tie_only(tie, cols))
+    near = K.drop_above_median(K.typed_quotes(raw, cols), cols=cols).drop("price_median")
+    listed = K.drop_above_list(near, list_prices, cols).drop("list_price")
+    quotes = K.dedup_seller_day(K.named_sellers(listed, cols), tie, cols)
+    ranked = K.dedup_rank_day(quotes, tie, cols) if captured_rank else K.snapshot_rank(quotes, cols).drop("price_median")
+    return ranked.drop(*tie_only(tie, cols))
 
 
 def tie_only(tie: list[str], cols: PanelColumns) -> list[str]:

@@ -10,9 +10,10 @@ from pricepanel.operators import panel as P
 from pricepanel.operators import products as R
 from pricepanel.operators import sellers as L
 from pricepanel.plans import clean, profile
+from pricepanel.plans.medians import StoredMedians
 from pricepanel.registry.core import query
 from pricepanel.registry.fixture import ANCHOR, CHECK_DAYS, TIE
-from pricepanel.session import stage
+from pricepanel.session import scratch_path, stage
 
 QUOTE = "dateacc:d isbn seller rating:f fba:i numrating:f price2:f"
 TIED = f"{QUOTE} l_orderkey:i l_linenumber:i l_partkey:i"
@@ -71,7 +72,19 @@ def dedup_rank_day(f):
 
 @query(f"{QUOTE} price_median:f", "SELECT * FROM below_median")
 def outlier_median(f):
-    return K.drop_above_median(f.quotes)
+    """Of all typed quotes, also repeated ones and those without a seller name."""
+    return K.drop_above_median(K.typed_quotes(f.raw))
+
+
+@query("isbn dateacc:d price_median:f", "SELECT isbn, dateacc, price_median FROM medians")
+def incremental_medians(f):
+    """Medians from counts that three batches add: one of early days, one of later days, and late quotes of both."""
+    quotes = K.typed_quotes(f.raw)
+    stored = StoredMedians.of(quotes, scratch_path(f.spark, "medians"))
+    part = F.when(F.col("l_orderkey") % 7 == 0, 2).when(F.col("dateacc") < F.to_date(F.lit("1998-01-01")), 0).otherwise(1)
+    for k in range(3):
+        stored.add(quotes.filter(part == k), f"batch{k}")
+    return stored.medians()
 
 
 @query(

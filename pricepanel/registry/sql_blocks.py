@@ -26,19 +26,20 @@ def centre(x: str, w: str, keys: str) -> str:
 BLOCKS: dict[str, str] = {}
 
 BLOCKS["raw_quotes"] = RAW_QUOTES.replace("`", '"').replace("{lineitem}", "lineitem").replace("{part}", "part")
-BLOCKS["typed_quotes"] = """
+BLOCKS["all_quotes"] = """
 SELECT dateacc, isbn, seller, try_cast(replace(rating, '%', '') AS DOUBLE) AS rating, fba,
        try_cast(replace(coalesce(numrating, '0'), ',', '') AS DOUBLE) AS numrating,
        price + coalesce(shipping, 0.0) AS price2, l_orderkey, l_linenumber, l_partkey
-FROM raw_quotes WHERE seller <> ''
+FROM raw_quotes
 """
+BLOCKS["typed_quotes"] = "SELECT * FROM all_quotes WHERE seller <> ''"
 BLOCKS["quotes"] = """
 SELECT * FROM typed_quotes
 QUALIFY row_number() OVER (PARTITION BY seller, isbn, dateacc ORDER BY price2, l_orderkey, l_linenumber, l_partkey) = 1
 """
-BLOCKS["medians"] = "SELECT isbn, dateacc, median(price2) AS price_median FROM quotes GROUP BY ALL"
+BLOCKS["medians"] = "SELECT isbn, dateacc, median(price2) AS price_median FROM all_quotes GROUP BY ALL"
 BLOCKS["below_median"] = """
-SELECT * FROM quotes JOIN medians USING (isbn, dateacc) WHERE price2 - 3.99 < 2 * price_median
+SELECT * FROM all_quotes JOIN medians USING (isbn, dateacc) WHERE price2 - 3.99 < 2 * price_median
 """
 BLOCKS["list_prices"] = """
 SELECT p_brand AS isbn, CASE WHEN p_brand <> 'Brand#7' THEN avg(p_retailprice) END AS list_price, min(p_type) AS format
@@ -48,8 +49,12 @@ BLOCKS["below_list"] = """
 SELECT b.*, list_price FROM below_median b LEFT JOIN list_prices USING (isbn)
 WHERE price2 - 3.99 < 1.5 * list_price OR list_price IS NULL
 """
+BLOCKS["near_quotes"] = """
+SELECT * FROM below_list WHERE seller <> ''
+QUALIFY row_number() OVER (PARTITION BY seller, isbn, dateacc ORDER BY price2, l_orderkey, l_linenumber, l_partkey) = 1
+"""
 BLOCKS["ranked"] = f"""
-SELECT *, row_number() OVER ({DAY} ORDER BY price2, seller) AS rank FROM below_list
+SELECT *, row_number() OVER ({DAY} ORDER BY price2, seller) AS rank FROM near_quotes
 """
 BLOCKS["price_floor"] = "SELECT median(price2) AS price_floor FROM ranked WHERE rank = 1"
 BLOCKS["floor_products"] = """

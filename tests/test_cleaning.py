@@ -1,5 +1,6 @@
 """Typing, deduplication, outliers, ranks and product screens on tiny panels."""
 
+import re
 import statistics
 
 import pytest
@@ -10,6 +11,8 @@ from pricepanel.functions import scalars as S
 from pricepanel import schemas
 from pricepanel.operators import cleaning as K
 from pricepanel.plans import clean
+from pricepanel.plans.medians import StoredMedians
+from pricepanel.session import scratch_path
 
 RAW = "dateacc string, isbn string, seller string, rating string, fba int, numrating string, shipping double, price double, condition string"
 
@@ -178,3 +181,30 @@ def test_week_elapsed_starts_in_week_one(spark):
     df = spark.createDataFrame([(day(n),) for n in (0, 4, 5, 12)], "d date")
     got = [r[0] for r in df.select(S.week_elapsed("d", F.lit(day(0)))).collect()]
     assert got == [1, 1, 2, 3]
+
+
+def test_medians_of_counts_follow_late_and_repeated_batches(spark, random_quotes):
+    quotes = random_quotes.unionByName(random_quotes.filter("price2 < 9"))  # repeats count
+    stored = StoredMedians.of(quotes, scratch_path(spark, "medians"))
+    want = lambda df: rows(K.median_prices(df), "isbn", "dateacc")
+    early, late = quotes.filter(F.col("dateacc") < day(3)), quotes.filter((F.col("dateacc") >= day(3)) & (F.col("seller") != "s3"))
+    stored.add(early.filter("seller <> 's3'"), "one")
+    stored.add(late, "two")
+    assert rows(stored.medians([day(3), day(4)]), "isbn", "dateacc") == want(late)
+    plan = stored.counts([day(3)])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*dateacc#\d+ = 2012-01-04", plan)  # other days' folders are left out
+    for _ in range(2):  # a batch that is tried again counts once
+        stored.add(quotes.filter("seller = 's3'"), "three")
+    assert rows(stored.medians(), "isbn", "dateacc") == want(quotes)
+
+
+def test_the_median_is_taken_before_repeats_and_nameless_sellers_go(spark):
+    """Three quotes without a seller name and two repeats hold the median down; the dear quote goes though few sellers are cheap."""
+    raw = spark.createDataFrame(
+        [("2012-01-01", "b", s, "90%", 0, "5", 0.0, p, "new", n) for n, (s, p) in enumerate([("", 10.0)] * 3 + [("a", 10.0)] * 3 + [("c", 40.0), ("d", 41.0)])],
+        "dateacc string, isbn string, seller string, rating string, fba int, numrating string, shipping double, price double, condition string, id int",
+    )
+    lists = spark.createDataFrame([("b", None)], "isbn string, list_price double")
+    assert [(r["seller"], r["rank"]) for r in rows(clean.ranked_quotes(raw, lists, ["price2", "id"]), "rank")] == [("a", 1)]
+    kept = K.drop_above_median(K.dedup_seller_day(K.clean_quotes(raw), ["price2", "id"]))
+    assert sorted(r["seller"] for r in rows(kept)) == ["a", "c", "d"]
