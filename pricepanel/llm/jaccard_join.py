@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from pricepanel.llm import tables
 from pricepanel.llm import textbytes as tb
-from pricepanel.llm.components import components
+from pricepanel.llm.components import merged
 from pricepanel.session import stage
 
 SHINGLE = 5
@@ -368,11 +368,8 @@ def _linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tup
     arrays = stage(_arrays(docs, hopeful, classes, size), "arrays")
     # one likely partner for each set connects most groups; the rest is checked only across what is still apart
     first = hopeful.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
-    links = stage(verified(first, arrays, percent), "checked")
-    roots = components(links)
-    more = stage(verified(_apart(hopeful, roots).select("a", "b"), arrays, percent), "checked")
-    links = links.unionByName(more)
-    roots = components(links)
+    roots = merged(None, verified(first, arrays, percent))
+    roots = merged(roots, verified(_apart(hopeful, roots).select("a", "b"), arrays, percent))
 
     crowded = near.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("rid"), "n")
     checked = hopeful.select("a", "b")
@@ -383,14 +380,12 @@ def _linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tup
         checked = checked.unionByName(tiled)
         found = more.count()
         if found:
-            links = links.unionByName(more)
-            roots = components(links)
+            roots = merged(roots, more)
         if found * ENOUGH <= tiled.count():
             break
     # then what no partner decides: every pair of sets that are still apart
     tiled = stage(tile_pairs(_mixed(crowded, roots), info, percent).distinct().join(checked, ["a", "b"], "left_anti"), "tiles")
-    late = stage(verified(tiled, _arrays(docs, tiled, classes, size), percent), "checked")
-    roots = components(links.unionByName(late))
+    roots = merged(roots, verified(tiled, _arrays(docs, tiled, classes, size), percent))
 
     return rows, classes.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
 
