@@ -35,8 +35,8 @@ TOLERANCE = 1e-6
 MAX_ROUNDS = 60
 MAX_STEPS = 400
 #: A ratio of residual to factor variance of this many times the mean rows of a level counts as no variance:
-#: effects are then a thousandth of the levels' means.
-NO_VARIANCE = 1000
+#: effects are then a hundredth of the levels' means.
+NO_VARIANCE = 100
 _TASK_BITS = 33  # monotonically_increasing_id: the task number stands above these bits
 
 
