@@ -8,6 +8,7 @@ from pricepanel import schemas
 from pricepanel.functions import text as TX
 from pricepanel.functions.quantiles import exact_quantiles
 from pricepanel.operators import text as X
+from pricepanel.operators.phrase_search import search_phrases
 from pricepanel.registry.core import query
 from pricepanel.registry.fixture import ANCHOR
 from pricepanel.registry.queries_panel import PANEL_ROW
@@ -194,6 +195,27 @@ def ngram_counts(f):
     return X.gram_counts(f.cleaned, 2, 60).unionByName(X.gram_counts(f.cleaned, 3, 60))
 
 
+@query("n:i gram count:i", "SELECT * FROM top_grams")
+def frequent_grams(f):
+    """The rows of `ngram_counts` by summaries of each task and an exact count of what they leave."""
+    return X.frequent_grams(f.cleaned, 2, 60).unionByName(X.frequent_grams(f.cleaned, 3, 60))
+
+
+@query(
+    "isbn:i seller phrase_count:i informative:i phrases",
+    """WITH listed AS (SELECT DISTINCT gram FROM (SELECT n, gram, count(*) AS count FROM all_grams GROUP BY n, gram
+                       QUALIFY row_number() OVER (PARTITION BY n ORDER BY count(*) DESC, gram) <= 1000)),
+            held AS (SELECT isbn, gram FROM descriptions JOIN listed ON contains(comments, gram)),
+            lists AS (SELECT isbn, count(*) AS n, string_agg(gram, '|' ORDER BY gram) AS phrases FROM held GROUP BY isbn)
+       SELECT isbn, seller, coalesce(n, 0) AS phrase_count, CASE WHEN n > 0 THEN 1 ELSE 0 END AS informative,
+              coalesce(phrases, '') AS phrases FROM descriptions LEFT JOIN lists USING (isbn)""",
+)
+def phrase_search(f):
+    """A list of the 1000 most frequent runs of two and of three words, searched in every description at once."""
+    grams = X.frequent_grams(f.cleaned, 2, 1000).unionByName(X.frequent_grams(f.cleaned, 3, 1000))
+    return search_phrases(f.cleaned, grams).withColumn("phrases", F.array_join("phrases", "|"))
+
+
 @query(
     "isbn:i seller phrase_count:i informative:i phrases",
     "SELECT isbn, seller, phrase_count, informative, phrases FROM phrase_hits",
