@@ -10,7 +10,7 @@ exactly in a second scan, and the answer stands when its last count reaches that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ PENDING = 1 << 20
 GROW = 4
 MOST = 1 << 22
 
+Reader = Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]
+
 
 def cut(hashes: np.ndarray, counts: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Add up equal hashes and keep at most ``counters``; the third value is what was taken off each count."""
@@ -38,8 +40,15 @@ def cut(hashes: np.ndarray, counts: np.ndarray, counters: int) -> tuple[np.ndarr
     return kept[over], total[over] - off, off
 
 
-def summaries(values: DataFrame, column: str, counters: int = COUNTERS) -> DataFrame:
-    """Rows (hash, count) of the merged summaries; the row with a null hash holds the largest possible shortfall."""
+def first_column(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    return (batch.column(0).to_numpy(zero_copy_only=False) for batch in batches)
+
+
+def summaries(rows: DataFrame, counters: int = COUNTERS, hashes_of: Reader = first_column) -> DataFrame:
+    """Rows (hash, count) of the merged summaries; the row with a null hash holds the largest possible shortfall.
+
+    ``hashes_of`` makes arrays of hashes from the Arrow batches of ``rows``.
+    """
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, off = np.empty(0, np.int64), np.empty(0, np.int64), 0
@@ -52,29 +61,51 @@ def summaries(values: DataFrame, column: str, counters: int = COUNTERS) -> DataF
             hashes, counts, lost = cut(np.concatenate([hashes, *pending]), np.concatenate([counts, ones]), counters)
             off, pending, waiting = off + lost, [], 0
 
-        for batch in batches:
-            pending.append(batch.column(0).to_numpy(zero_copy_only=False))
-            waiting += batch.num_rows
+        for found in hashes_of(batches):
+            pending.append(found)
+            waiting += len(found)
             if waiting >= limit:
                 settle()
         settle()
-        columns = [pa.array([*hashes.tolist(), None], pa.int64()), pa.array([*counts.tolist(), off], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["hash", "count"])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(counts, pa.int64())], ["hash", "count"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([off], pa.int64())], ["hash", "count"])
 
-    found = values.filter(F.col(column).isNotNull()).select(F.xxhash64(column).alias("hash"))
-    return found.mapInArrow(summarise, "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
+    return rows.mapInArrow(summarise, "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
 
 
 def most_frequent(values: DataFrame, column: str, top: int, counters: int = COUNTERS) -> DataFrame:
     """The ``top`` values with their ``count``, ties by value; nulls are not counted.
 
     ``values`` is scanned twice, so it should be cheap to read again (a table, or a staged one). Rows shuffled: at most
-    ``counters`` a task, then the survivors' counts. If the bound does not hold with ``MOST`` counters, as where
-    no value is frequent, all values are counted.
+    ``counters`` a task, then the survivors' counts.
+    """
+    held = values.select(column).filter(F.col(column).isNotNull())
+    keyed = held.withColumn("hash", F.xxhash64(column))
+    tally = lambda rows: rows.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    return top_by_summaries(
+        lambda size: summaries(keyed.select("hash"), size),
+        lambda survivors: tally(keyed.join(survivors, ["hash"], "left_semi")),
+        lambda: tally(held),
+        column, top, counters,
+    )
+
+
+def top_by_summaries(
+    summarise: Callable[[int], DataFrame],
+    count: Callable[[DataFrame], DataFrame],
+    count_all: Callable[[], DataFrame],
+    column: str,
+    top: int,
+    counters: int = COUNTERS,
+) -> DataFrame:
+    """The ``top`` rows by count from summaries of a size, exact counts of given hashes, and, at worst, of all values.
+
+    If the bound does not hold with ``MOST`` counters, as where no value is frequent, all values are counted.
     """
+    ranked = lambda counts: counts.orderBy(F.desc("count"), column).limit(top)
     while counters <= MOST:
-        merged = stage(summaries(values, column, counters), "summaries")
-        # One row of two numbers: the shortfall, and the count that the last of the top has at least.
+        merged = stage(summarise(counters), "summaries")
+        # One row of three numbers: the shortfall, and the count that the last of the top has at least.
         short = merged.filter(F.col("hash").isNull()).agg(F.coalesce(F.max("count"), F.lit(0)).alias("short"))
         kept = merged.filter(F.col("hash").isNotNull())
         leaders = kept.orderBy(F.desc("count")).limit(top).agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least"))
@@ -82,15 +113,12 @@ def most_frequent(values: DataFrame, column: str, top: int, counters: int = COUN
         floor = bound["least"] if bound["n"] == top else 0
         while bound["short"] == 0 or floor > bound["short"]:
             survivors = stage(kept.filter(F.col("count") + bound["short"] >= floor).select("hash"), "survivors")
-            keyed = values.select(F.col(column), F.xxhash64(column).alias("hash"))
-            counted = keyed.join(survivors, ["hash"], "left_semi").groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-            answer = stage(counted.filter(F.col(column).isNotNull()).orderBy(F.desc("count"), column).limit(top), "frequent")
+            answer = stage(ranked(count(survivors)), "frequent")
             last = answer.agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least")).first()
             reached = last["least"] if last["n"] == top else 0
             # Two values of one hash can hold the floor too high; it then falls to a count that was reached.
-            if reached >= floor or floor == 0:
+            if reached >= floor:
                 return answer
             floor = reached
         counters *= GROW
-    counted = values.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    return counted.orderBy(F.desc("count"), column).limit(top)
+    return ranked(count_all())

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pricepanel.functions import scalars as S
 from pricepanel.functions import text as X
-from pricepanel.operators.frequent import COUNTERS, most_frequent
+from pricepanel.operators.frequent import COUNTERS
+from pricepanel.operators.word_runs import top_runs
 
 
 def clean_descriptions(descriptions: DataFrame) -> DataFrame:
@@ -17,21 +18,18 @@ def clean_descriptions(descriptions: DataFrame) -> DataFrame:
     )
 
 
-def grams(descriptions: DataFrame, n: int) -> DataFrame:
-    """Each run of ``n`` words in cleaned comments."""
-    words = F.filter(F.split(F.col("comments"), " "), lambda w: w != "")
-    return descriptions.select(words.alias("__w")).select(F.explode(X.word_grams(F.col("__w"), n)).alias("gram"))
-
-
 def gram_counts(descriptions: DataFrame, n: int, top: int | None = None) -> DataFrame:
     """Occurrences of each run of ``n`` words in cleaned comments; the ``top`` most frequent if asked."""
-    counts = grams(descriptions, n).groupBy("gram").agg(F.count(F.lit(1)).alias("count")).withColumn("n", F.lit(n))
+    words = F.filter(F.split(F.col("comments"), " "), lambda w: w != "")
+    grams = descriptions.select(words.alias("__w")).select(F.explode(X.word_grams(F.col("__w"), n)).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("count")).withColumn("n", F.lit(n))
     return counts if top is None else counts.orderBy(F.desc("count"), "gram").limit(top)
 
 
 def frequent_grams(descriptions: DataFrame, n: int, top: int, counters: int = COUNTERS) -> DataFrame:
     """`gram_counts` with ``top``, without a shuffle of every distinct run of words; reads ``descriptions`` twice."""
-    return most_frequent(grams(descriptions, n), "gram", top, counters).withColumn("n", F.lit(n))
+    every = lambda: gram_counts(descriptions, n).select("gram", "count")
+    return top_runs(descriptions, "comments", n, top, every, counters).withColumn("n", F.lit(n))
 
 
 def informative_phrases(*lists: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from helpers import day, rows
 from pricepanel.operators import frequent
 from pricepanel.operators import phrase_search as S
 from pricepanel.operators import text as T
+from pricepanel.operators import word_runs
 from pricepanel.plans.listings import StoredListings
 from pricepanel.session import scratch_path
 
@@ -85,6 +86,25 @@ def test_frequent_grams_are_the_top_of_all_gram_counts(spark):
         assert rows(got) == rows(T.gram_counts(df, n, 30))
 
 
+def test_runs_of_words_go_on_across_arrow_batches_and_stop_with_a_text(spark):
+    words = [f"w{k * k % 7}" for k in range(300)]
+    df = spark.createDataFrame([(" ".join(words),), ("w1",), ("w2 w3",), ("  w1  w2 ",), (None,)], "comments string").coalesce(1)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "2")
+        for n in (1, 2, 4):
+            assert rows(T.frequent_grams(df, n, 50), "gram") == rows(T.gram_counts(df, n, 50), "gram")
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_more_survivors_than_are_sent_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(word_runs, "SENT", 1)
+    df = spark.createDataFrame([("a b a b c",), ("b c",)], "comments string")
+    assert rows(T.frequent_grams(df, 2, 3)) == rows(T.gram_counts(df, 2, 3))
+
+
 def usage(df):
     return [(r["isbn"], r["phrases"], r["phrase_count"], r["informative"]) for r in rows(df, "isbn")]
 
