@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -18,29 +19,24 @@ SENT = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(texts: DataFrame, column: str) -> DataFrame:
-    """Each word with its place in its text and its hash, texts one after the other in each task."""
-    split = texts.select(F.array_remove(F.split(F.col(column), " "), "").alias("__w"))
-    return split.select(F.posexplode("__w").alias("place", "word")).select("place", F.xxhash64("word").alias("hash"), "word")
-
-
-def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """For each batch, headed by the last rows of the one before: where runs start, their hashes, and the rows."""
-    rest = None
+def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """For each batch of texts: where runs start, their hashes, and the words of all its texts."""
     for batch in batches:
-        rows = batch if rest is None else pa.concat_batches([rest, batch])
-        starts = rows.num_rows - n + 1
-        rest = rows.slice(max(starts, 0))
+        lists = pc.split_pattern(batch.column(0), " ")
+        words, text = pc.list_flatten(lists), pc.list_parent_indices(lists)
+        some = pc.not_equal(words, "")
+        words, text = words.filter(some), text.filter(some).to_numpy()
+        starts = len(words) - n + 1
         if starts <= 0:
             continue
-        place = rows.column(0).to_numpy()
-        hashes = rows.column(1).to_numpy().view(np.uint64)
-        # places go up by one inside a text and back to nought with the next
-        at = np.flatnonzero(place[n - 1 :] - place[:starts] == n - 1)
+        coded = words.dictionary_encode()  # each distinct word of a batch is hashed once
+        known = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+        hashes = known[coded.indices.to_numpy()]
+        at = np.flatnonzero(text[n - 1 :] == text[:starts])
         combined = hashes[at]
         for k in range(1, n):
             combined = combined * FACTOR + hashes[at + k]
-        yield at, combined.view(np.int64), rows
+        yield at, combined.view(np.int64), words
 
 
 def _reader(n: int) -> Callable:
@@ -50,9 +46,9 @@ def _reader(n: int) -> Callable:
 def top_runs(texts: DataFrame, column: str, n: int, top: int, every: Callable[[], DataFrame], counters: int = COUNTERS) -> DataFrame:
     """The ``top`` runs of ``n`` words as (gram, count), ties by gram; ``every`` counts all runs where no bound holds.
 
-    Words are split by one space each; ``texts`` is read twice. A task holds its summary and one Arrow batch.
+    Words are split by spaces; ``texts`` is read twice. A task holds its summary and the words of one Arrow batch.
     """
-    found = words(texts, column)
+    found = texts.select(column).filter(F.col(column).isNotNull())
 
     def count(survivors: DataFrame) -> DataFrame:
         if survivors.count() > SENT:
@@ -62,15 +58,14 @@ def top_runs(texts: DataFrame, column: str, n: int, top: int, every: Callable[[]
         def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(held):
                 return
-            for at, hashes, rows in runs(batches, n):
+            for at, hashes, words in runs(batches, n):
                 near = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
                 hits = at[held[near] == hashes]
                 if len(hits):
-                    texts = [rows.column(2).take(pa.array(hits + k)) for k in range(n)]
-                    counted = pc.binary_join_element_wise(*texts, " ").value_counts()
+                    taken = [words.take(pa.array(hits + k)) for k in range(n)]
+                    counted = pc.binary_join_element_wise(*taken, " ").value_counts()
                     yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["gram", "count"])
 
         return found.mapInArrow(tally, "gram string, count long").groupBy("gram").agg(F.sum("count").alias("count"))
 
-    hashed = found.select("place", "hash")
-    return top_by_summaries(lambda size: summaries(hashed, size, _reader(n)), count, every, "gram", top, counters)
+    return top_by_summaries(lambda size: summaries(found, size, _reader(n)), count, every, "gram", top, counters)
