@@ -15,21 +15,36 @@ from pricepanel.operators.frequent import COUNTERS, summaries, top_by_summaries
 
 #: Survivors that the tasks are sent as an array of 8 MB; with more, all runs are counted.
 SENT = 1 << 20
+#: Bytes of text whose words are held at once: about ten times as much in arrays.
+PIECE = 4 << 20
 #: Fixed odd factor by which the hashes of a run's words are combined.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
-    """For each batch of texts: where runs start, their hashes, and the words of all its texts."""
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """The texts in slices of about `PIECE` bytes; a longer text is a slice of its own with what precedes it."""
     for batch in batches:
-        lists = pc.split_pattern(batch.column(0), " ")
+        texts = batch.column(0)
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+        start = 0
+        while start < len(texts):
+            before = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, before + PIECE)) + 1
+            yield texts.slice(start, stop - start)
+            start = stop
+
+
+def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """For each piece of texts: where runs start, their hashes, and the words of all its texts."""
+    for piece in pieces(batches):
+        lists = pc.split_pattern(piece, " ")
         words, text = pc.list_flatten(lists), pc.list_parent_indices(lists)
         some = pc.not_equal(words, "")
         words, text = words.filter(some), text.filter(some).to_numpy()
         starts = len(words) - n + 1
         if starts <= 0:
             continue
-        coded = words.dictionary_encode()  # each distinct word of a batch is hashed once
+        coded = words.dictionary_encode()  # each distinct word of a piece is hashed once
         known = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
         hashes = known[coded.indices.to_numpy()]
         at = np.flatnonzero(text[n - 1 :] == text[:starts])
@@ -46,7 +61,7 @@ def _reader(n: int) -> Callable:
 def top_runs(texts: DataFrame, column: str, n: int, top: int, every: Callable[[], DataFrame], counters: int = COUNTERS) -> DataFrame:
     """The ``top`` runs of ``n`` words as (gram, count), ties by gram; ``every`` counts all runs where no bound holds.
 
-    Words are split by spaces; ``texts`` is read twice. A task holds its summary and the words of one Arrow batch.
+    Words are split by spaces; ``texts`` is read twice. A task holds its summary and the words of one piece.
     """
     found = texts.select(column).filter(F.col(column).isNotNull())
 

@@ -86,7 +86,8 @@ def test_frequent_grams_are_the_top_of_all_gram_counts(spark):
         assert rows(got) == rows(T.gram_counts(df, n, 30))
 
 
-def test_runs_of_words_go_on_across_arrow_batches_and_stop_with_a_text(spark):
+def test_runs_of_words_stay_whole_in_small_batches_and_pieces_and_stop_with_a_text(spark, monkeypatch):
+    monkeypatch.setattr(word_runs, "PIECE", 8)
     words = [f"w{k * k % 7}" for k in range(300)]
     df = spark.createDataFrame([(" ".join(words),), ("w1",), ("w2 w3",), ("  w1  w2 ",), (None,)], "comments string").coalesce(1)
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
