@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricepanel.llm import tables, tokens
+from pricepanel.session import stage
 
 #: Lengths are summed in ranges of this many, so that no window holds more rows.
 RANGE = 1024
@@ -90,4 +91,5 @@ def quantiles(table: DataFrame, shares: Sequence[float]) -> DataFrame:
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
-    return context_table(length_counts(tables.table(spark, sf_dir, "documents")))
+    # one row per length, read by several branches: written once, so that texts are encoded once
+    return context_table(stage(length_counts(tables.table(spark, sf_dir, "documents")), "lengths"))
