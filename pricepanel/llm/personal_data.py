@@ -1,8 +1,9 @@
 """Personal data in whole texts: fixed forms, and spans that a trained tagger adds.
 
 The tagger is a character-level bidirectional LSTM with CRF transitions. It learns from labelled spans: passages
-around the fixed forms of a bounded sample of documents, some of them rewritten into other ways of writing the same
-thing, and passages with digits that hold none. Texts are cut into overlapping windows; the windows' tag scores are
+around the fixed forms of a bounded sample of documents, as they stand and rewritten into every other way of writing
+the same thing, with and without digits in an address, and from passages that hold none, with digits, or with the word
+at. It takes at least ``STEPS`` steps, however few passages there are. Texts are cut into overlapping windows; the windows' tag scores are
 averaged where they overlap, weighted towards each window's middle, and one best path is decoded for the whole
 stretch, so that a span at a window's edge is found once and whole.
 
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from pricepanel.llm import tables
 from pricepanel.llm.bilstm_crf import Tagger
+from pricepanel.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -39,11 +41,14 @@ TRIGGER = re.compile("[0-9@]")
 LONGEST = 80
 AT = re.compile(rf"@|[( \[](?=(?:(?<=\()at\)|(?<=\[)at\]|(?<= )at ) ?\S{{1,{LONGEST}}}? ?(?:\.|\(dot\)|\[dot\]| dot ) ?\S)")
 WINDOW, STRIDE = 96, 48
-#: Labelled passages for training at most, and passes over them.
+#: Passages with a digit or an at sign, and plain ones, for training at most.
 SAMPLE = 1200
-EPOCHS = 6
-#: One in so many training passages is rewritten into another form.
-REWRITE = 2
+PLAIN = 300
+#: Steps of training, each on ``BATCH`` rows, and passes over all rows at least.
+STEPS, BATCH = 600, 96
+EPOCHS = 2
+#: Rows for training at least: passages, and their values in other forms and varied.
+ROWS = 8000
 PATHS = 4096
 
 _SIGNS = "\n .@-+()_%:/,'\"=#"
@@ -152,25 +157,82 @@ def tag_texts(tagger: Tagger | None, texts: list[str]) -> list[list[tuple[int, i
     return found
 
 
-def _rewritten(kind: int, value: str, rng: np.random.Generator) -> str:
-    """Another way of writing a value of one kind."""
-    pick = int(rng.integers(0, 3))
+def forms(kind: int, value: str) -> list[str]:
+    """Other ways of writing a value of a fixed form."""
     digits = re.sub("[^0-9]", "", value)
     if kind == 0:
-        at, dot = ((" at ", " dot "), ("(at)", "."), (" [at] ", " [dot] "))[pick]
         name, _, host = value.partition("@")
-        return name + at + host.replace(".", dot)
+        ways = ((" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", "."))
+        found = [name + at + host.replace(".", dot) for at, dot in ways]
+    elif kind == 1:
+        found = [value.replace(".", dot) for dot in (" . ", "[.]", "-", " dot ")]
+    elif kind == 2:
+        found = [mark.join(digits[k : k + 4] for k in range(0, len(digits), 4)) for mark in " -./"]
+    else:
+        a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+        found = [f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}"]
+    return found
+
+
+def varied(kind: int, value: str, words: list[str], rng: np.random.Generator) -> str:
+    """A value of the same form: other digits, and in an address other words, fewer labels, or no digits."""
     if kind == 1:
-        return value.replace(".", (" . ", "[.]", "-")[pick])
-    if kind == 2:
-        groups = [digits[k : k + 4] for k in range(0, len(digits), 4)]
-        return (" ", "-", ".")[pick].join(groups)
-    local = digits[-10:]
-    return (f"{local[:3]}-{local[3:6]}-{local[6:]}", f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}")[pick]
+        return ".".join(str(int(rng.integers(0, 256)) if rng.random() < 0.8 else int(rng.integers(0, 10))) for _ in range(4))
+    if kind != 0:
+        return re.sub("[0-9]", lambda _: str(int(rng.integers(0, 10))), value)
+    other = lambda part: words[int(rng.integers(0, len(words)))] if words and rng.random() < 0.5 else part
+    name, _, host = value.partition("@")
+    labels = host.split(".")
+    if len(labels) > 2 and rng.random() < 0.5:
+        del labels[int(rng.integers(0, len(labels) - 1))]
+    address = re.sub("[A-Za-z]+", lambda m: other(m[0]), name) + "@" + ".".join([*(other(x) for x in labels[:-1]), labels[-1]])
+    signs = ("0123456789", "0123456789", "abcdefghijklmnopqrstuvwxyz", "")[int(rng.integers(0, 4))]
+    address = re.sub("[0-9]", lambda _: signs[int(rng.integers(0, len(signs)))] if signs else "", address)
+    return re.sub(r"(^|[.@])(?=[.@])", r"\1x", address)
+
+
+def _placed(passage: str, start: int, end: int, kind: int, value: str, others: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """The passage with ``value`` in place of a stretch, and its spans: the value's, and the others moved along."""
+    by = len(value) - (end - start)
+    return passage[:start] + value + passage[end:], [(k, a, b) if b <= start else (k, a + by, b + by) for k, a, b in others] + [(kind, start, start + len(value))]
+
+
+def training_rows(passages: list[tuple[str, list[tuple[int, int, int]]]], rng: np.random.Generator) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """The passages, each of their spans in every other form, and more of them with varied values up to ``ROWS``.
+
+    Plain passages take values of every kind, or the word at before a full stop, which is none.
+    """
+    rows = list(passages)
+    spans = [(p, s, [o for o in all_spans if o != s]) for p, all_spans in passages for s in all_spans]
+    for passage, (kind, a, b), others in spans:
+        rows += [_placed(passage, a, b, kind, value, others) for value in forms(kind, passage[a:b])]
+    by_kind = [[p[a:b] for p, (kind, a, b), _ in spans if kind == want] for want in range(len(KINDS))]
+    kinds = [k for k, values in enumerate(by_kind) if values]
+    words = sorted({w.lower() for p, found in passages if not found for w in re.findall(r"\b[A-Za-z]{3,12}\b", p)})
+    plain = [(p, gaps) for p, found in passages if not found and (gaps := [m.start() + 1 for m in re.finditer(" ", p[: WINDOW // 2])])]
+    for passage, gaps in plain:
+        gap = gaps[int(rng.integers(0, len(gaps)))]
+        word = re.match(r"\S*", passage[gap:])[0]
+        rows.append((f"{passage[:gap]}at {word}. {passage[gap:]}", []))
+    while len(rows) < ROWS:
+        kind = kinds[int(rng.integers(0, len(kinds)))]
+        if plain and rng.random() < 0.5:
+            passage, gaps = plain[int(rng.integers(0, len(plain)))]
+            a = gaps[int(rng.integers(0, len(gaps)))]
+            b, others = a + len(re.match(r"\S*", passage[a:])[0]), []
+        else:
+            passage, (kind, a, b), others = spans[int(rng.integers(0, len(spans)))]
+        value = varied(kind, by_kind[kind][int(rng.integers(0, len(by_kind[kind])))], words, rng)
+        ways = [value, *forms(kind, value)]
+        rows.append(_placed(passage, a, b, kind, ways[int(rng.integers(0, len(ways)))], others))
+    return rows
 
 
 def labelled_passages(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """At most ``sample`` passages with their spans, from the documents' fixed forms; those of smallest hash."""
+    """Passages with their spans, those of smallest hash.
+
+    At most ``sample`` lie around fixed forms and other digits; at most ``PLAIN`` begin a text and hold neither.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,35 +250,37 @@ def labelled_passages(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str,
                     inside = [(k, a - low, b - low) for k, a, b in spans if low <= a and b <= high]
                     if not any(low < b and a < high and not (low <= a and b <= high) for _, a, b in spans):
                         rows.append((text[low:high], [x for s in inside for x in s]))
+                if not TRIGGER.search(text[:WINDOW]):
+                    rows.append((text[:WINDOW], []))
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["passage", "spans"])
 
     holding = docs.where(F.col("text").rlike("[0-9]{3}|@")).select("text")
-    rows = holding.mapInArrow(cut, "passage string, spans array<long>").distinct()
-    found = rows.orderBy(F.xxhash64("passage"), "passage", "spans").limit(sample).collect()
+    rows = stage(holding.mapInArrow(cut, "passage string, spans array<long>").distinct(), "passages")
+    plain = ~F.col("passage").rlike("[0-9@]")
+    found = tables.sampled(rows.where(~plain), sample) + tables.sampled(rows.where(plain), PLAIN)
     return [(r["passage"], [tuple(r["spans"][k : k + 3]) for k in range(0, len(r["spans"]), 3)]) for r in found]
 
 
-def fit(passages: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = EPOCHS, seed: int = 0) -> Tagger | None:
-    """Train a tagger on passages with spans; none if there is no span."""
+def fit(passages: list[tuple[str, list[tuple[int, int, int]]]], epochs: int | None = None, seed: int = 0) -> Tagger | None:
+    """Train a tagger on passages with spans, for ``STEPS`` steps if ``epochs`` is not stated; none if there is no span."""
     if not any(spans for _, spans in passages):
         return None
-    rng = np.random.default_rng(seed)
-    rows = list(passages)
-    for passage, spans in passages:
-        for k, (kind, a, b) in enumerate(spans):
-            if (a + k) % REWRITE == 0:
-                value = _rewritten(kind, passage[a:b], rng)
-                rows.append((passage[:a] + value + passage[b:], [(x, s, e) if e <= a else (x, s + len(value) - b + a, e + len(value) - b + a) for x, s, e in spans if e <= a or s >= b] + [(kind, a, a + len(value))]))
+    rows = training_rows(passages, np.random.default_rng(seed))
+    if epochs is None:
+        epochs = max(EPOCHS, -(-STEPS * BATCH // len(rows)))
     signs, tags = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)
     for i, (passage, spans) in enumerate(rows):
-        part = signs_of(passage)[:WINDOW]
+        # the last span as whole as a window can hold it; spans that the window cuts are tagged as far as they go
+        start, end = max(((a, b) for _, a, b in spans), key=lambda s: s[1], default=(0, 0))
+        low = max(0, min(start, end - WINDOW))
+        part = signs_of(passage[low : low + WINDOW])
         signs[i, : len(part)] = part
         for kind, a, b in spans:
-            if b <= WINDOW:
-                tags[i, a:b] = 2 + 2 * kind
-                tags[i, a] = 1 + 2 * kind
+            tags[i, max(a - low, 0) : max(b - low, 0)] = 2 + 2 * kind
+            if a >= low:
+                tags[i, a - low : a - low + 1] = 1 + 2 * kind
     tagger = Tagger.create(N_SIGNS, N_TAGS, seed)
-    tagger.train(signs, tags, epochs)
+    tagger.train(signs, tags, epochs, BATCH)
     return tagger
 
 
