@@ -22,6 +22,12 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def _log_product(x: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """Logarithm of exp(x) times a matrix, row by row."""
+    top = x.max(axis=1, keepdims=True)
+    return top + np.log(np.exp(x - top) @ chances)
+
+
 @dataclass
 class Tagger:
     params: dict[str, np.ndarray]
@@ -45,7 +51,8 @@ class Tagger:
         out, saved = np.empty((steps, rows, HIDDEN), np.float32), []
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
             z = pre[t] + h @ p[side + "h"]
-            i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
+            gates = _sigmoid(z[:, : 3 * HIDDEN])
+            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             g = np.tanh(z[:, 3 * HIDDEN :])
             before, h_before = c, h
             c = f * c + i * g
@@ -85,28 +92,28 @@ class Tagger:
         both = np.concatenate([sides["f"][0], sides["b"][0]], axis=2)
         e = (both @ p["out"] + p["out_bias"]).astype(np.float64)
         move, first = p["move"].astype(np.float64), p["first"].astype(np.float64)
+        chances = np.exp(move)
         ahead, behind = np.empty_like(e), np.zeros_like(e)
         ahead[0] = first + e[0]
         for t in range(1, steps):
-            ahead[t] = _log_sum(ahead[t - 1][:, :, None] + move, 1) + e[t]
+            ahead[t] = _log_product(ahead[t - 1], chances) + e[t]
         for t in range(steps - 2, -1, -1):
-            behind[t] = _log_sum(move + (e[t + 1] + behind[t + 1])[:, None, :], 2)
+            behind[t] = _log_product(e[t + 1] + behind[t + 1], chances.T)
         total = _log_sum(ahead[-1], 1)
         y, every = tags.T, np.arange(rows)
-        gold = first[y[0]] + e[0][every, y[0]]
-        for t in range(1, steps):
-            gold = gold + move[y[t - 1], y[t]] + e[t][every, y[t]]
+        at = np.arange(steps)[:, None]
+        gold = first[y[0]] + e[at, every, y].sum(axis=0) + move[y[:-1], y[1:]].sum(axis=0)
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         de = np.exp(ahead + behind - total[None, :, None])
-        for t in range(steps):
-            de[t][every, y[t]] -= 1
-        for t in range(1, steps):
-            pair = np.exp(ahead[t - 1][:, :, None] + move + (e[t] + behind[t])[:, None, :] - total[:, None, None])
-            grads["move"] += pair.sum(axis=0).astype(np.float32)
-            np.subtract.at(grads["move"], (y[t - 1], y[t]), 1)
+        de[at, every, y] -= 1
+        top = ahead[:-1].max(axis=2, keepdims=True)
+        left, right = np.exp(ahead[:-1] - top), np.exp(e[1:] + behind[1:] + top - total[None, :, None])
+        n = move.shape[0]
+        met = np.bincount((y[:-1] * n + y[1:]).ravel(), minlength=n * n).reshape(n, n)
+        grads["move"] += (chances * (left.reshape(-1, n).T @ right.reshape(-1, n)) - met).astype(grads["move"].dtype)
         grads["first"] += de[0].sum(axis=0).astype(np.float32)
         de = de.astype(np.float32)
-        grads["out"] += np.einsum("trh,trk->hk", both, de)
+        grads["out"] += both.reshape(-1, both.shape[2]).T @ de.reshape(-1, n)
         grads["out_bias"] += de.sum(axis=(0, 1))
         db = de @ p["out"].T
         dx = self._lstm_back(x, sides["f"][1], db[:, :, :HIDDEN], "f", grads) + self._lstm_back(x, sides["b"][1], db[:, :, HIDDEN:], "b", grads)

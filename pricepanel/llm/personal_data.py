@@ -45,7 +45,7 @@ WINDOW, STRIDE = 96, 48
 SAMPLE = 1200
 PLAIN = 300
 #: Steps of training, each on ``BATCH`` rows, and passes over all rows at least.
-STEPS, BATCH = 600, 96
+STEPS, BATCH = 600, 64
 EPOCHS = 2
 #: Rows for training at least: passages, and their values in other forms and varied.
 ROWS = 8000
