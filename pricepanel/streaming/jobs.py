@@ -6,10 +6,11 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pricepanel.sources.sinks import insert_ignore
@@ -17,6 +18,7 @@ from pricepanel.sources.store import KeyedStore
 from pricepanel.streaming import instant
 
 FILES_PER_BATCH = 100  # fixed value: the commit interval of collection
+BUCKETS = 1 << 11  # states that the pairs of ordered changes share
 
 
 def file_stream(
@@ -118,83 +120,67 @@ def price_changes(stream: DataFrame, keys: list[str], order: list[str], price: s
     )
 
 
-class _OrderedChanges(StatefulProcessor):
-    """Rows of a pair wait in its buffer until the watermark has passed them, then they are compared in order.
+def _ordinals(values: pd.Series) -> np.ndarray:
+    """Numbers in the order of the values; equal values share one, and missing ones come last."""
+    codes = pd.factorize(values, sort=True)[0]
+    return np.where(codes < 0, codes.max(initial=0) + 1, codes)
 
-    State of a pair: the waiting rows, its last row that was compared, and the time of its one timer. The timer
-    stands at the first waiting row or, with none, where the pair counts as idle, which ends its state.
-    """
 
-    def __init__(self, keys: list[str], tie: list[T.StructField], output: T.StructType, when: str, price: str, idle_us: int):
-        self.keys, self.tie, self.output, self.when, self.price, self.idle = keys, tie, output, when, price, idle_us
-        self.row = T.StructType([T.StructField("us", T.LongType()), *tie, T.StructField("price", T.DoubleType())])
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
-        self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType()), T.StructField("price", T.DoubleType())]))
-        self.timer = handle.getValueState("timer", T.StructType([T.StructField("ms", T.LongType())]))
-
-    def _wake_at(self, us: int | None) -> None:
-        held = self.timer.get() if self.timer.exists() else None
-        ms = None if us is None else -(-us // 1000)
-        if held is not None and held[0] != ms:
-            self.handle.deleteTimer(held[0])
-        if ms is None:
-            self.timer.clear()
-        elif held is None or held[0] != ms:
-            self.handle.registerTimer(ms)
-            self.timer.update((ms,))
-
-    def handleInputRows(self, key, rows, timerValues):
-        # "us" leads, so the least row is the earliest one
-        fresh = [tuple(r) for part in rows for r in part[[f.name for f in self.row]].itertuples(index=False)]
-        self.waiting.appendList([(int(us), *tie, None if pd.isna(price) else float(price)) for us, *tie, price in fresh])
-        first = min(int(r[0]) for r in fresh)
-        held = self.timer.get() if self.timer.exists() else None
-        # a timer at the end of an idle time gives way to an earlier row; a later row waits for the timer
-        if held is None or first < held[0] * 1000:
-            self._wake_at(first)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        self.timer.clear()
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted((tuple(r) for r in waiting if r[0] <= passed), key=lambda r: tuple((x is None, x) for x in r[:-1]))
-        later = [tuple(r) for r in waiting if r[0] > passed]
-        before = self.last.get() if self.last.exists() else None
-        found = []
-        for us, *tie, price in due:
-            if before is not None and us - before[0] > self.idle:
-                before = None
-            if price is None:
-                continue
-            if before is not None and price != before[1]:
-                found.append((*key, us, *tie, price, before[1], price - before[1]))
-            before = (us, price)
-        if later:
-            self.waiting.put(later)
-        elif waiting:
-            self.waiting.clear()
-        if before is not None and not later and before[0] + self.idle < passed:
-            before = None
-        if before is None:
-            self.last.clear()
-        else:
-            self.last.update((before[0], before[1]))
-        self._wake_at(min(r[0] for r in later) if later else None if before is None else before[0] + self.idle + 1000)
-        if found:
-            frame = pd.DataFrame(found, columns=self.output.names)
-            frame[self.when] = pd.to_datetime(frame[self.when], unit="us")
-            yield frame
+def _packed(frame: pd.DataFrame) -> bytes:
+    table, sink = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_pandas(date_as_object=True)
+
+
+def _compare(rows: pd.DataFrame, pair: list[str], tie: list[str], passed: int, idle: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The changes among the rows of several pairs that the watermark has passed, and the rows to keep.
 
-    def close(self) -> None:
-        pass
+    ``us`` is a row's time; ``done`` marks the last compared row of a pair. To keep: waiting rows, and the last
+    compared row of each pair that is not idle.
+    """
+    which = np.zeros(len(rows), np.int64)
+    for c in pair:
+        own = _ordinals(rows[c])
+        which = np.unique(which * (int(own.max()) + 1) + own, return_inverse=True)[1]
+    us = rows["us"].to_numpy()
+    order = np.lexsort([*(_ordinals(rows[c]) for c in reversed(tie)), us, ~rows["done"].to_numpy(dtype=bool), us > passed, which])
+    rows, which, us = rows.iloc[order].reset_index(drop=True), which[order], us[order]
+    due, price = us <= passed, rows["price"].to_numpy()
+    after = np.append(False, which[1:] == which[:-1])
+    gap, before = np.diff(us, prepend=0), np.append(np.nan, price[:-1])
+    moved = due & after & ~rows["done"].to_numpy(dtype=bool) & (gap <= idle) & (price != before)
+    # the last due row of a pair
+    last = due & ~np.append(due[1:] & after[1:], False) & (us + idle >= passed)
+    changes = rows[moved].assign(before=before[moved])
+    return changes, rows[~due | last].assign(done=due[~due | last])
+
+
+def _plain(kinds: dict[str, T.DataType], columns: list[str], prefix: str) -> tuple[list[Column], list[T.StructField], list[Column]]:
+    """Columns as pandas carries them unchanged: numbers get a flag for null. Also their fields, and the way back."""
+    there, fields, back = [], [], []
+    for i, c in enumerate(columns):
+        kind, name = kinds[c], f"{prefix}{i}"
+        fields.append(T.StructField(name, kind))
+        if isinstance(kind, (T.IntegralType, T.FractionalType, T.BooleanType)):
+            zero = F.lit(False if isinstance(kind, T.BooleanType) else 0).cast(kind)
+            # adding zero makes the two zeros one value
+            value = F.coalesce(c, zero) + zero if isinstance(kind, (T.FloatType, T.DoubleType)) else F.coalesce(c, zero)
+            there += [value.alias(name), F.col(c).isNull().alias(f"{name}_null")]
+            fields.append(T.StructField(f"{name}_null", T.BooleanType()))
+            back.append(F.when(~F.col(f"{name}_null"), F.col(name)).alias(c))
+        else:
+            there.append(F.col(c).alias(name))
+            back.append(F.col(name).alias(c))
+    return there, fields, back
 
 
 def ordered_price_changes(
-    stream: DataFrame, keys: list[str], when: str, tie: list[str], price: str, delay: str, idle_seconds: int
+    stream: DataFrame, keys: list[str], when: str, tie: list[str], price: str, delay: str, idle_seconds: int, buckets: int = BUCKETS
 ) -> DataFrame:
     """Price changes of each pair in order of event time, for rows that arrive in any order within ``delay``.
 
@@ -202,21 +188,51 @@ def ordered_price_changes(
     arrived; rows behind the watermark are dropped by the engine. Rows without a price are passed
     over. A pair that is silent for more than ``idle_seconds`` starts anew, and its state ends when the watermark passes
     that time: state holds the rows of the last ``delay`` and the pairs that are not idle. ``when`` is a zone-less
-    timestamp without nulls. The state store of the session is set to RocksDB, which processors with timers need.
+    timestamp without nulls, keys and tie columns are plain values. The state store of the session is set to RocksDB.
+
+    Pairs share ``buckets`` states by their hash, so a micro-batch hands each task few large groups, whose pairs are
+    compared together; the number is part of the checkpoint and stays as a stream was started. One timeout a bucket
+    stands at its first waiting row or, before that, where a pair counts as idle.
     """
     stream.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
     kinds = {f.name: f.dataType for f in stream.schema.fields}
-    ties = [T.StructField(c, kinds[c]) for c in tie]
-    output = T.StructType(
-        [T.StructField(c, kinds[c]) for c in keys] + [T.StructField(when, T.TimestampNTZType()), *ties, T.StructField(price, T.DoubleType())]
-        + [T.StructField(f"{price}_prev", T.DoubleType()), T.StructField(f"{price}_change", T.DoubleType())]
+    pair_columns, pair_fields, pair_back = _plain(kinds, keys, "__key")
+    tie_columns, tie_fields, tie_back = _plain(kinds, tie, "__tie")
+    pair, idle = [f.name for f in pair_fields], idle_seconds * 1_000_000
+    # the null flag leads its number, so nulls come last
+    ranked = [name for f in tie_fields if not f.name.endswith("_null") for name in (f"{f.name}_null", f.name) if name in {t.name for t in tie_fields}]
+    names = ["us", *pair, *[f.name for f in tie_fields], "price"]
+    output = T.StructType([*pair_fields, T.StructField("at", T.TimestampNTZType()), *tie_fields, T.StructField("price", T.DoubleType()), T.StructField("before", T.DoubleType())])
+    state = T.StructType([T.StructField("rows", T.BinaryType())])
+
+    def detect(_, chunks, held: GroupState):
+        fresh = [c[names] for c in chunks if len(c)]
+        fresh = [c[c["price"].notna()].assign(done=False) for c in fresh]
+        parts = ([_unpacked(held.get[0])] if held.exists else []) + [c for c in fresh if len(c)]
+        if not parts:
+            return
+        watermark = held.getCurrentWatermarkMs()
+        changes, kept = _compare(pd.concat(parts, ignore_index=True), pair, ranked, watermark * 1000, idle)
+        if len(kept):
+            held.update((_packed(kept),))
+            # an instant is passed when the watermark reaches it; a timeout fires once the watermark is beyond it
+            wake = (kept["us"] + np.where(kept["done"], idle + 1000, 0)).min()
+            held.setTimeoutTimestamp(max(-(-int(wake) // 1000) - 1, watermark, 1))
+        elif held.exists:
+            held.remove()
+        if len(changes):
+            yield changes.assign(at=pd.to_datetime(changes["us"], unit="us"))[output.names]
+
+    rows = stream.select(
+        F.pmod(F.xxhash64(*pair_columns), F.lit(buckets)).alias("__bucket"), instant(when).alias("__at"), *pair_columns, *tie_columns,
+        F.col(price).cast("double").alias("price"),
     )
-    rows = stream.select(*keys, instant(when).alias("__at"), *tie, F.col(price).cast("double").alias("price"))
     timed = rows.withWatermark("__at", delay).withColumn("us", F.unix_micros("__at"))
-    processor = _OrderedChanges(keys, ties, output, when, price, idle_seconds * 1_000_000)
-    return timed.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=output, outputMode="Append", timeMode="EventTime")
+    found = timed.groupBy("__bucket").applyInPandasWithState(detect, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(*pair_back, F.col("at").alias(when), *tie_back, F.col("price").alias(price), F.col("before").alias(f"{price}_prev"),
+                        (F.col("price") - F.col("before")).alias(f"{price}_change"))
 
 
 def late_counts(all_rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:

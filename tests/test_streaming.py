@@ -117,6 +117,29 @@ def test_idle_pairs_start_anew_and_their_state_ends(spark, ticks):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
 
 
+def test_many_pairs_share_few_states_and_keep_apart(spark):
+    """State and calls follow the buckets, not the pairs; null keys and ties make pairs and places of their own."""
+    start, rng = dt.datetime(2024, 1, 1), random.Random(4)
+    kind = "seller long, isbn string, ts timestamp_ntz, event_id long, tie int, price2 double"
+    data = [
+        (rng.choice([None, 0, *range(40)]), rng.choice([None, "", "x"]), start + dt.timedelta(hours=rng.randrange(24 * 9)), n, rng.choice([None, 1, 2**30]), rng.choice([None, 1.0, 2.0]))
+        for n in range(1500)
+    ]
+    every, (source, out, checkpoint) = spark.createDataFrame(data, kind), (scratch_path(spark, label) for label in ("arrivals", "ordered", "c"))
+    arrivals(spark, source, every, 2 * 86400, 3)
+    stream = jobs.file_stream(spark, source, every.schema, files_per_batch=1)
+    changes = jobs.ordered_price_changes(stream, ["seller", "isbn"], "ts", ["tie", "event_id"], "price2", "2 days", 10**9, buckets=7)
+    query = jobs.append_files(changes, out, checkpoint)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 7
+    w = Window.partitionBy("seller", "isbn").orderBy("ts", F.asc_nulls_last("tie"), "event_id")
+    want = every.filter("price2 IS NOT NULL").withColumn("price2_prev", F.lag("price2").over(w)).withColumn("price2_change", F.col("price2") - F.col("price2_prev"))
+    last = every.agg(F.max("ts")).first()[0]
+    want = want.filter("price2_change <> 0").filter(F.col("ts") <= F.lit(last - dt.timedelta(days=2)).cast("timestamp_ntz"))
+    assert changes.schema.names == ["seller", "isbn", "ts", "tie", "event_id", "price2", "price2_prev", "price2_change"]
+    assert want.count() > 300 and same_rows(spark.read.schema(changes.schema).parquet(out), want)
+
+
 def weekly(spark, stream):
     path = scratch_path(spark, "weekly")
     means = jobs.weekly_mean(stream.withColumn("at", instant("ts")), ["isbn"], "price2", "at", "1 day")
