@@ -474,6 +474,30 @@ def test_quality_ranking(docs_of, spark):
     assert quality_ranking.scored(docs_of(), table).count() == 0
 
 
+def test_quality_ranking_learns_from_every_row_and_pair(spark, monkeypatch):
+    """Weights, cells and threshold are those of the loss over all pairs, computed in one piece."""
+    rng = np.random.default_rng(1)
+    y = (rng.random(500) < 0.7).astype(int)
+    x = rng.normal(size=(500, len(quality_ranking.FEATURES))) + 0.4 * y[:, None]
+    x[:, 3] = 2.0  # a constant feature
+    rows = spark.createDataFrame([(i, row.tolist(), int(q)) for i, (row, q) in enumerate(zip(x, y))], "doc_id long, features array<double>, quality int")
+    monkeypatch.setattr(quality_ranking, "CELL_ROWS", 60)
+    got = quality_ranking.fit(rows.repartition(3))
+    z = np.clip((x - x.mean(axis=0)) / np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1), -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        w -= np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), 1e-3 * w - (d * p[:, None]).mean(axis=0))
+    assert np.abs(got.weights - w).max() < 1e-4 * np.abs(w).max()
+    raw = got.raw(x)
+    cuts = np.sort(raw)
+    balance = [(raw[y == 0] <= c).mean() - (raw[y == 1] <= c).mean() for c in cuts]
+    k = int(np.argmax(balance))
+    assert got.threshold == pytest.approx((cuts[k] + cuts[k + 1]) / 2) and got.level == pytest.approx((k + 1) / 500)
+    assert got.slope == pytest.approx(4 / raw.std(), rel=1e-4)
+
+
 def test_words_do_not_cross_texts():
     data, offsets = textbytes.utf8(pa.array(["ab", "cd", None, " x ", ""]))
     starts, ends, first = textbytes.words(data, offsets)
