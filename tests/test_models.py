@@ -191,5 +191,32 @@ def test_group_apply_runs_a_user_function(spark, frame, points):
     assert [r["id"] for r in got] == [points[points.truth == t].a.idxmax() for t in (1, 2, 3)]
 
 
+def test_group_apply_gives_the_frames_of_single_transfers(spark):
+    """Groups over several batches, null and NaN keys, and nulls in other groups leave a group's frame as it was."""
+    kind = "k double, s string, n long, b boolean, x double, d date"
+    data = [
+        (k, s, None if k == 1.0 and i % 3 == 0 else 2**60 + i, None if k == 2.0 and i == 1 else i % 2 == 0, None if i == 2 else float(i), None)
+        for k in (None, float("nan"), 0.0, -0.0, 1.0, 2.0) for s in (None, "", "u") for i in range(7)
+    ]
+    df = spark.createDataFrame(data, kind)
+
+    def told(group):
+        seen = group.sort_values(["n", "x"])
+        assert seen.index.sort_values().tolist() == list(range(len(group)))
+        text = [repr((seen.dtypes.astype(str).tolist(), sorted(map(str, seen.drop(columns=["b", "d"]).round(3).itertuples(index=False)))))]
+        return pd.DataFrame({"rows": len(group), "text": text})
+
+    schema = "text string, rows long"
+    want = rows(df.groupBy("k", "s").applyInPandas(told, schema), "text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = group_apply(df, ["k", "s"], told, schema)
+        assert rows(got, "text") == want and len(want) == 15
+        assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+        assert group_apply(df.limit(0), ["k"], told, schema).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_class_features_name_their_logs():
     assert classes.logs_of({"rank_mean": 0.0}) == ["log_rank_mean"]
