@@ -47,7 +47,7 @@ def search_phrases(descriptions: DataFrame, phrases: DataFrame, block_chars: int
         if done:
             found = stage(found, "phrase-pass")
         listed = [r["gram"] for r in blocks.filter(F.col("block") == number).select("gram").collect()]
-        search = _search(descriptions.sparkSession.sparkContext.broadcast(listed))
+        search = _search(listed)
         found = found.withColumn("phrases", F.concat("phrases", search(F.col("comments"))))
     return (
         found.withColumn("phrases", F.array_sort("phrases"))
@@ -56,12 +56,12 @@ def search_phrases(descriptions: DataFrame, phrases: DataFrame, block_chars: int
     )
 
 
-def _search(listed):
-    """A column function: the phrases of the broadcast list that a text holds."""
+def _search(listed: list[str]):
+    """A column function: the phrases of the list that a text holds; Spark sends a large function to each executor once."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        built, everywhere = automaton([p for p in listed.value if p]), [""] if "" in listed.value else []
+        built, everywhere = automaton([p for p in listed if p]), [""] if "" in listed else []
         for batch in texts:
             yield pd.Series([_held(built, everywhere, text) for text in batch], dtype=object)
 

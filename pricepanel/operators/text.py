@@ -19,15 +19,19 @@ def clean_descriptions(descriptions: DataFrame) -> DataFrame:
 
 
 def gram_counts(descriptions: DataFrame, n: int, top: int | None = None) -> DataFrame:
-    """Occurrences of each run of ``n`` words in cleaned comments; the ``top`` most frequent if asked."""
+    """Occurrences of each run of ``n`` words in cleaned comments; the ``top`` most frequent, ties by run, if asked.
+
+    The most frequent runs are found without a shuffle of every distinct run of words; ``descriptions`` is then read twice.
+    """
+    if top is not None:
+        return frequent_grams(descriptions, n, top)
     words = F.filter(F.split(F.col("comments"), " "), lambda w: w != "")
     grams = descriptions.select(words.alias("__w")).select(F.explode(X.word_grams(F.col("__w"), n)).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("count")).withColumn("n", F.lit(n))
-    return counts if top is None else counts.orderBy(F.desc("count"), "gram").limit(top)
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("count")).withColumn("n", F.lit(n))
 
 
 def frequent_grams(descriptions: DataFrame, n: int, top: int, counters: int = COUNTERS) -> DataFrame:
-    """`gram_counts` with ``top``, without a shuffle of every distinct run of words; reads ``descriptions`` twice."""
+    """`gram_counts` with ``top``, by summaries of each task and an exact count of what they leave."""
     every = lambda: gram_counts(descriptions, n).select("gram", "count")
     return top_runs(descriptions, "comments", n, top, every, counters).withColumn("n", F.lit(n))
 

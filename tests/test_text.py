@@ -61,3 +61,13 @@ def test_seller_shares_agree_with_the_row_flags(spark):
         n, i = flags.get(r["seller"], (0, 0))
         flags[r["seller"]] = (n + r["repeat_comment"], i + r["informative"])
     assert {k: (v["repeat_comment"], v["informative"]) for k, v in got.items()} == flags
+
+
+def test_top_runs_are_counted_without_listing_every_run(spark, monkeypatch):
+    """The most frequent runs of a gram list come from summaries; all runs are exploded only where all are asked for."""
+    df = spark.createDataFrame([("a b a b c",), ("b c",), ("",), (None,), ("x",)], "comments string")
+    every = T.gram_counts(df, 2)
+    want = sorted(rows(every), key=lambda r: (-r["count"], r["gram"]))
+    monkeypatch.setattr(T.X, "word_grams", None)
+    assert sorted(rows(T.gram_counts(df, 2, 2)), key=lambda r: (-r["count"], r["gram"])) == want[:2]
+    assert T.gram_counts(df, 2, 2).columns == every.columns
