@@ -4,7 +4,9 @@ With ``l_k`` the ratio of the residual variance to the variance of factor k, the
 factors are ``(Z'Z + diag(l)) u = Z'r``. Rows enter only as counts and sums by cell (level, level), so a
 round costs two aggregates over the cells whatever the number of rows.
 
-* The factor with more levels is absorbed; conjugate gradients solve for the other one. An iteration is one
+* The factor with more levels is absorbed. Where the other one has at most ``DENSE`` levels, their equations are summed up
+  over the levels of the absorbed one, each with its counts in one row, and solved on the driver: a round is two scans
+  without a shuffle. With more levels conjugate gradients solve for them. An iteration is one
   aggregate for each factor, and its state is written, so a lost executor costs one iteration.
 * All right sides are solved at once: the response, the regressors and the probes of the traces.
 * Traces of the inverse are taken with ``probes`` signed columns of a Hadamard matrix: level i has row ``i mod probes``.
@@ -13,7 +15,7 @@ round costs two aggregates over the cells whatever the number of rows.
   every run, so the rounds converge.
 * REML's equations ``variance_k = u'u / (levels - l_k * trace_k)`` are solved as a fixed point in log ``l`` with Anderson's mixing.
 
-The driver sees sums of the size of (regressors + probes) squared, never levels. Rows with a null in any used column
+The driver sees sums of the size of (regressors + probes) squared, and at most ``DENSE`` levels. Rows with a null in any used column
 play no part. A factor without variance gets effects of zero.
 """
 
@@ -37,6 +39,8 @@ MAX_STEPS = 400
 #: A ratio of residual to factor variance of this many times the mean rows of a level counts as no variance:
 #: effects are then a hundredth of the levels' means.
 NO_VARIANCE = 100
+#: Levels of the smaller factor up to which its equations are solved directly.
+DENSE = 128
 _TASK_BITS = 33  # monotonically_increasing_id: the task number stands above these bits
 
 
@@ -128,6 +132,36 @@ class _Equations:
         self.small = _level_table(cells, small, columns, probes, 0)
         self.sizes = (self.small.count(), cells.select(large).distinct().count())
         self.large = _level_table(cells, large, columns, probes, self.sizes[0])
+        if self.sizes[0] <= DENSE:
+            self._gather()
+
+    def _gather(self) -> None:
+        """The small factor's levels, and beside each level of the large one its counts ``c`` by level of the small one."""
+        small, large = self.names
+        self.levels = self.small.collect()
+        kind = self.small.schema["level"].dataType.simpleString()
+        places = self.cells.sparkSession.createDataFrame([(r["level"], k) for k, r in enumerate(self.levels)], f"{small} {kind}, __place int")
+        entries = F.map_from_entries(F.collect_list(F.struct("__place", F.col("n").cast("double"))))
+        held = self.cells.join(places, small).groupBy(F.col(large).alias("level")).agg(entries.alias("__held"))
+        row = F.transform(F.sequence(F.lit(0), F.lit(len(self.levels) - 1)), lambda k: F.coalesce(F.try_element_at("__held", k), F.lit(0.0)))
+        self.profiles = stage(self.large.join(held, "level").select("level", "n", "rhs", row.alias("c")), "profiles")
+
+    def _solve_directly(self, ratios: tuple[float, float]) -> tuple[DataFrame, DataFrame, int]:
+        own, other = ratios
+        m = len(self.levels)
+        n, rhs = (np.array([r[c] for r in self.levels], float) for c in ("n", "rhs"))
+
+        def part(g: dict) -> np.ndarray:
+            weighted = (g["c"] / (g["n"] + other)).T
+            return np.concatenate([(weighted @ g["c"]).ravel(), (weighted @ g["rhs"]).ravel()])
+
+        found = _summed(self.profiles, part)
+        v = np.linalg.solve(np.diag(n + own) - found[: m * m].reshape(m, m), rhs - found[m * m :].reshape(m, -1))
+        rows = [(r["level"], r["n"], r["rhs"], x) for r, x in zip(self.levels, v.tolist())]
+        kind = self.small.schema["level"].dataType.simpleString()
+        small = self.cells.sparkSession.createDataFrame(rows, f"level {kind}, n double, rhs array<double>, v array<double>")
+        large = _with_vectors(self.profiles, ["rhs", "v"], lambda g: [g["rhs"], (g["rhs"] - g["c"] @ v) / (g["n"] + other)])
+        return small, large, 1
 
     def _crossed(self, vectors: DataFrame, source: str, target: str) -> DataFrame:
         """``level`` of the target with ``sums``: the vectors of the source's levels, weighted by the cells' counts."""
@@ -145,6 +179,8 @@ class _Equations:
 
     def solve(self, x: DataFrame | None, ratios: tuple[float, float], tolerance: float) -> tuple[DataFrame, DataFrame, int]:
         """Solutions ``v`` of both factors beside their right sides, and the steps taken. ``x`` is a first guess."""
+        if self.sizes[0] <= DENSE:
+            return self._solve_directly(ratios)
         own, other = ratios
         start = self.small if x is None else self.small.join(x.select("level", "v"), "level")
         guess = _with_vectors(start, ["rhs", "v"], lambda g: [g["rhs"], g.get("v", np.zeros_like(g["rhs"]))])

@@ -54,6 +54,18 @@ def test_fit_equals_a_dense_solve(spark):
     assert fit.rounds[-1]["moved"] < 1e-4 and len(fit.rounds) < 15 and max(r["steps"] for r in fit.rounds) <= 12
 
 
+def test_few_levels_are_solved_in_one_step_with_the_results_of_the_gradients(spark, monkeypatch):
+    """Where one factor has few levels its equations are solved directly; the effects are those of the iteration."""
+    df = spark.createDataFrame(panel(4, 20, 4, 200), KIND)
+    fits = []
+    for most in (128, 0):
+        monkeypatch.setattr(mixed, "DENSE", most)
+        fits.append(mixed.crossed_effects(df, "y", ["x1", "x2"], "seller", "isbn", probes=32, tolerance=0.05))
+    one, two = ([(r["factor"], r["level"], r["n"], r["effect"]) for r in rows(f.effects, "factor", "level")] for f in fits)
+    assert [x[:3] for x in one] == [x[:3] for x in two] and np.allclose([x[3] for x in one], [x[3] for x in two], atol=1e-5)
+    assert {r["steps"] for r in fits[0].rounds} == {1} and fits[1].rounds[0]["steps"] > 1
+
+
 def test_probed_traces_come_near_with_many_levels(spark):
     data = panel(2, 60, 40, 500)
     fit = mixed.crossed_effects(spark.createDataFrame(data, KIND), "y", ["x1", "x2"], "seller", "isbn", probes=16, tolerance=0.02)
