@@ -22,6 +22,10 @@ from pricepanel.sources.tables import spread
 STARTS = 100  # fixed value: k-means starts of which the best is kept
 MOST_ROUNDS = 10_000  # fixed value: rounds after which a start that still moves is reported
 STILL = 1e-9
+BORDER_ROWS = 1_000_000  # points of all starts that a scan hands on for further rounds, some 50 MB
+START_ROWS = 100_000  # most points of one start among them
+REACH = 256  # of its last step, how far a start may go before the next scan
+BLOCK = 1_000  # rows of a task that meet all starts at once, some 3 MB for each cluster
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,59 +33,137 @@ def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFr
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="error").transform(df)
 
 
-def _start_sums(block: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, coordinate sums and squared distances of one block of points under every start."""
-    starts, k, width = centres.shape
-    flat = centres.reshape(starts * k, width)
-    gaps = (block**2).sum(1)[:, None] - 2.0 * block @ flat.T + (flat**2).sum(1)
-    gaps = np.maximum(gaps, 0.0).reshape(len(block), starts, k)
-    slot = gaps.argmin(2) + np.arange(starts) * k
-    count = np.bincount(slot.ravel(), minlength=starts * k)
-    cost = np.bincount(slot.ravel(), weights=gaps.min(2).ravel(), minlength=starts * k)
-    sums = np.stack(
-        [np.bincount(slot.ravel(), weights=np.repeat(block[:, j], starts), minlength=starts * k) for j in range(width)], 1
-    )
-    return count, sums, cost
+def _start_sums(block: np.ndarray, centres: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Counts and coordinate sums of one block of points by start and cluster, costs by start, and the points on a border.
 
-
-def _move(data: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    A point lies on a border where its distances to its two nearest centres differ by at most the width of the
+    start; these come as three arrays of starts, clusters and rows. Equal distances go to the lower cluster.
+    """
+    starts, k, width = centres.shape
+    flat = centres.transpose(1, 0, 2).reshape(k * starts, width)
+    gaps = ((flat**2).sum(1)[:, None] - 2.0 * flat @ block.T).reshape(k, starts, len(block))
+    squares, first = (block**2).sum(1), gaps.min(0)
+    ones = np.column_stack([np.ones(len(block)), block])
+    added, free, slot = np.empty((starts, k, width + 1)), np.ones(first.shape, bool), np.zeros(first.shape, np.int16)
+    for j in range(k):
+        mine = free & (gaps[j] == first)
+        free &= ~mine
+        slot[mine] = j
+        added[:, j] = mine.astype(float) @ ones
+    cost = np.maximum(first + squares, 0.0).sum(1)
+    wide = np.flatnonzero(widths > 0) if k > 1 else np.zeros(0, int)
+    one, two = gaps[0, wide], np.full((len(wide), len(block)), np.inf)
+    for j in range(1, k):
+        two = np.minimum(two, np.maximum(one, gaps[j, wide]))
+        one = np.minimum(one, gaps[j, wide])
+    far = np.sqrt(np.maximum(one + squares, 0.0)) + np.sqrt(np.maximum(two + squares, 0.0))
+    at, row = np.nonzero(two - one <= widths[wide, None] * far)
+    return added[:, :, 0], added[:, :, 1:], cost, (wide[at], slot[wide[at], row], row)
+
+
+def _centres_of(n: np.ndarray, sums: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Means of clusters; an empty cluster stays where it was."""
+    return np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], before)
+
+
+def _rounds_at_border(now: np.ndarray, n: np.ndarray, sums: np.ndarray, border: np.ndarray, width: float, most: int):
+    """Rounds of one start after the round that gave ``n`` and ``sums``: centres, last step, number of rounds.
+
+    ``border`` holds cluster and coordinates of the points within ``width`` of a border of ``now``. As long as no
+    centre is half that far from ``now``, all other points keep their cluster, so that their sums serve as they are.
+    """
+    k, slot, points = len(now), border[:, 0].astype(int), border[:, 1:]
+    ones = np.column_stack([np.ones(len(points)), points])
+    by_cluster = lambda of: (of == np.arange(k)[:, None]).astype(float) @ ones
+    fixed = np.column_stack([n, sums]) - by_cluster(slot)
+    at, rounds = _centres_of(n, sums, now), 0
+    step, still = np.abs(at - now).max(), STILL * max(1.0, np.abs(now).max())
+    # a hundredth of the width is left for rounding
+    while rounds < most and step > still and 2.0 * np.sqrt(((at - now) ** 2).sum(1).max()) < 0.99 * width:
+        total = fixed + by_cluster(((at**2).sum(1) - 2.0 * points @ at.T).argmin(1))
+        moved = _centres_of(np.rint(total[:, 0]), total[:, 1:], at)
+        step, at, rounds = np.abs(moved - at).max(), moved, rounds + 1
+    return at, step, rounds
+
+
+def _move(data: DataFrame, centres: np.ndarray, border_rows: int = BORDER_ROWS, start_rows: int = START_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Move the centres of several starts until each stands still; centres and costs.
 
-    In each round a task reduces its rows to counts and sums per start and
-    cluster, Spark adds those up, and one small row per start and cluster
-    reaches the driver. Starts that stand still drop out of the next round.
+    In each scan a task reduces its rows to counts and sums per start and
+    cluster, Spark adds those up by start, and one small row per start reaches
+    the driver. Starts that stand still drop out of the next scan.
+
+    Late rounds move few points. A scan therefore also hands on the points close to a border between clusters, at
+    most ``border_rows`` of all starts and ``start_rows`` of one over all tasks, and the task that adds up a start
+    goes on with rounds over these while no other point can change its cluster: the rounds are those that scans of
+    all rows would give. A start ends only with a scan of all rows that leaves it still.
     """
     starts, k, width = centres.shape
     centres, costs, moving = centres.copy(), np.full(starts, np.inf), np.arange(starts)
-    totals = [F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(width)]
-    for _ in range(MOST_ROUNDS):
-        now = centres[moving]
+    steps, density, rounds = np.zeros(starts), np.zeros(starts), np.zeros(starts, int)
+    cores, tasks = data.sparkSession.sparkContext.defaultParallelism, data.rdd.getNumPartitions()
+    while True:
+        now, left = centres[moving], MOST_ROUNDS - rounds[moving] - 1
+        room = min(border_rows // len(moving), start_rows) // tasks  # of a start in one task
+        # the points within a width are about in proportion to it; half the room is left free
+        fits = np.divide(0.5 * room, density[moving], out=np.full(len(moving), np.inf), where=density[moving] > 0)
+        widths = np.minimum(2.0 * REACH * steps[moving], fits)
+        widths[widths < 4.0 * steps[moving]] = 0.0  # too narrow for two more rounds
 
         def reduce_rows(frames):
-            total = None
+            n, sums, cost, met = np.zeros((len(now), k)), np.zeros(now.shape), np.zeros(len(now)), np.zeros(len(now), int)
+            border = [[] for _ in now]
             for frame in frames:
-                part = _start_sums(frame.to_numpy(dtype=float), now)
-                total = part if total is None else tuple(a + b for a, b in zip(total, part))
-            if total is not None:
-                yield pd.DataFrame({"slot": range(len(total[0])), "n": total[0], "sums": list(total[1]), "cost": total[2]})
-
-        added = (
-            data.mapInPandas(reduce_rows, "slot int, n long, sums array<double>, cost double")
-            .groupBy("slot")
-            .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *totals)
+                values = frame.to_numpy(dtype=float)
+                for block in np.split(values, range(BLOCK, len(values), BLOCK)):
+                    part_n, part_sums, part_cost, (start, slot, row) = _start_sums(block, now, widths)
+                    n, sums, cost = n + part_n, sums + part_sums, cost + part_cost
+                    met += np.bincount(start, minlength=len(now))
+                    ends = np.searchsorted(start, np.arange(len(now) + 1))
+                    for s in np.unique(start):
+                        own = slice(ends[s], ends[s + 1])
+                        if met[s] <= room:
+                            border[s].append(np.column_stack([slot[own], block[row[own]]]))
+                        else:  # a start with more points than the task has room for hands on none
+                            border[s].clear()
+            held = [np.concatenate(b).ravel() if b else np.zeros(0) for b in border]
+            yield pd.DataFrame(
+                {"start": range(len(now)), "n": list(n), "sums": list(sums.reshape(len(now), -1)), "cost": cost, "met": met, "border": held}
+            )
+
+        def go_on(key, parts):
+            s, most = key[0], parts["met"].max()
+            n, sums = np.sum(list(parts["n"]), axis=0), np.sum(list(parts["sums"]), axis=0).reshape(k, width)
+            first = at = _centres_of(n, sums, now[s])
+            step = last = np.abs(first - now[s]).max()
+            more = 0
+            if widths[s] > 0 and most <= room:
+                border = np.concatenate(list(parts["border"])).reshape(-1, width + 1)
+                at, last, more = _rounds_at_border(now[s], n, sums, border, widths[s], left[s])
+            return pd.DataFrame(
+                {"start": [s], "at": [at.ravel()], "cost": [parts["cost"].sum()], "step": [step], "last": [last], "most": [most], "more": [more]}
+            )
+
+        found = (
+            data.mapInPandas(reduce_rows, "start int, n array<double>, sums array<double>, cost double, met long, border array<double>")
+            .repartition(cores, "start")
+            .groupBy("start")
+            .applyInPandas(go_on, "start int, at array<double>, cost double, step double, last double, most long, more long")
             .toPandas()
-            .sort_values("slot")
+            .sort_values("start")
         )
-        n = added["n"].to_numpy(dtype=float).reshape(len(moving), k, 1)
-        sums = added[[f"s{j}" for j in range(width)]].to_numpy(dtype=float).reshape(len(moving), k, width)
-        moved = np.where(n > 0, sums / np.maximum(n, 1), now)
-        costs[moving] = added["cost"].to_numpy(dtype=float).reshape(len(moving), k).sum(1)
-        centres[moving] = moved
+        centres[moving] = np.stack(found["at"]).reshape(now.shape)
+        costs[moving], steps[moving] = found["cost"], found["last"]
+        rounds[moving] += 1 + found["more"].to_numpy()
+        most = found["most"].to_numpy()
+        measured = (widths > 0) & (most > 0)
+        density[moving[measured]] = most[measured] / widths[measured]
         still = STILL * np.maximum(1.0, np.abs(now).max((1, 2)))
-        moving = moving[np.abs(moved - now).max((1, 2)) > still]
+        moving = moving[found["step"].to_numpy() > still]
         if not len(moving):
             return centres, costs
-    raise RuntimeError(f"{len(moving)} of {starts} starts still move after {MOST_ROUNDS} rounds")
+        if rounds[moving].max() >= MOST_ROUNDS:
+            raise RuntimeError(f"{len(moving)} of {starts} starts still move after {MOST_ROUNDS} rounds")
 
 
 def first_centres(data: DataFrame, columns: list[str], k: int, starts: int, seed: int) -> np.ndarray:

@@ -67,6 +67,30 @@ def test_many_starts_never_cost_more_than_one(frame, points):
     assert many <= mllib * 1.001
 
 
+def test_late_rounds_take_few_scans_and_end_at_the_same_centres(spark, monkeypatch):
+    """Points without clusters move for many rounds; a scan of all rows serves several of them, with or without room."""
+    xs = np.random.default_rng(9).uniform(size=(3000, 2))
+    df = spark.createDataFrame(pd.DataFrame(xs, columns=["x", "y"])).repartition(3, "x").persist()
+    first = M.first_centres(df, ["x", "y"], 5, 4, 0)
+    want, costs, rounds = [], [], 0
+    for at in first:
+        for n in range(1, 1000):
+            gaps = ((xs[:, None] - at[None]) ** 2).sum(2)
+            moved = np.array([xs[gaps.argmin(1) == j].mean(0) for j in range(5)])
+            if np.abs(moved - at).max() <= 1e-9:
+                break
+            at = moved
+        want, costs, rounds = [*want, at], [*costs, gaps.min(1).sum()], max(rounds, n)
+    scans, whole = [], type(df).toPandas
+    monkeypatch.setattr(type(df), "toPandas", lambda self: scans.append(1) or whole(self))
+    for border_rows, most in ((M.BORDER_ROWS, rounds // 2), (2000, rounds), (0, rounds)):
+        scans.clear()
+        centres, found = M._move(df, first, border_rows)
+        assert np.allclose(centres, want, atol=1e-9) and np.allclose(found, costs)
+        assert len(scans) <= most and rounds > 30
+    df.unpersist()
+
+
 def test_repeated_rows_give_their_distinct_points(spark):
     copies = spark.range(2000).select(F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(0.0, 0.0), (1.0, 0.0), (0.0, 5.0)]])).alias("p"))
     got = M.best_centres(copies.select("p.x", "p.y"), ["x", "y"], 3, starts=4)
